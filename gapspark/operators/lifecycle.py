@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapspark import fixed
 from gapspark.functions import dates, scores
 from gapspark.operators import catalog, link, merge
+from gapspark.session import cut_lineage
 
 
 def closing_reason(asof) -> Column:
@@ -183,13 +184,17 @@ def daily_update(
 
     ``answers`` holds one row per imdb_id, ``articles`` the review rows of all
     sources with a film_title. Every step is a set operation over its whole input.
+    What several later steps read (the scored films, the linked articles, the new
+    reviews) is checkpointed in the shared folder, so that no step repeats those
+    before it and a lost executor costs only its own tasks.
     """
     current = films
     if found is not None:
         current = add_found(films, score_found(found, answers, asof))
     current = score_backlog_run(current, answers, asof, backlog_limit)
-    current = refresh_active_scores(current, answers, asof)
-    linked = link.linked_reviews(articles, current)
-    added = link.add_linked(reviews, linked)
+    spark = films.sparkSession
+    current = cut_lineage(spark, refresh_active_scores(current, answers, asof))
+    linked = cut_lineage(spark, link.linked_reviews(articles, current))
+    added = cut_lineage(spark, link.add_linked(reviews, linked))
     current = touch_linked(current, linked, added, asof)
     return DailyResult(films=close_windows(current, asof), new_reviews=added)

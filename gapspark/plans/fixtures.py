@@ -149,7 +149,7 @@ def with_views(views: tuple[str, ...], sql: str) -> str:
         return sql
     clause = ",\n".join(f"{v} AS ({FIXTURE_SQL[v]})" for v in wanted)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
+    if body[:4].upper() == "WITH" and body[4].isspace():
         return f"WITH {clause},\n{body[5:]}"
     return f"WITH {clause}\n{body}"
 

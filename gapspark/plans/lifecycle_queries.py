@@ -188,13 +188,14 @@ def daily(v):
             "left_semi",
         )
     )
-    columns = [*known.columns]
+    columns = known.columns
     articles = review_rows(v).where("has_body").drop("has_body")
-    stored = link.linked_reviews(articles.where("review_date < '1998-01-01'"), v.gap_films)
-    return lifecycle.daily_update(
-        known, stored, found.select(*(c for c in found.columns if c in columns), "tmdb_id"),
-        answers(v), articles, ASOF,
+    brought = found.select(*(c for c in found.columns if c in columns), "tmdb_id")
+    titles = known.select("film_link", "movie_title").unionByName(
+        brought.select("film_link", "movie_title")
     )
+    stored = link.linked_reviews(articles.where("review_date < '1998-01-01'"), titles)
+    return lifecycle.daily_update(known, stored, brought, answers(v), articles, ASOF)
 
 
 @query(

@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from gapspark import session
-from gapspark.operators import link, merge, trend  # noqa: F401
+from gapspark.functions import text
 from gapspark.plans.fixtures import Views
 from gapspark.plans.ingest_queries import LINKED
 from gapspark.plans.registry import query
-from gapspark.functions import text
 from gapspark.streaming import lifecycle, reviews as stream_ops
 
 
@@ -73,7 +72,7 @@ def _stream_windows(v):
 
 SESSIONS = f"""
 WITH days AS (SELECT film_link, review_date, count(*) AS n FROM fx_reviews GROUP BY ALL),
-starts AS (SELECT *, CASE WHEN review_date < lag(review_date) OVER (PARTITION BY film_link
+starts AS (SELECT *, CASE WHEN review_date <= lag(review_date) OVER (PARTITION BY film_link
     ORDER BY review_date) + 14 THEN 0 ELSE 1 END AS is_start FROM days),
 numbered AS (SELECT *, sum(is_start) OVER (PARTITION BY film_link ORDER BY review_date) AS run
   FROM starts),
@@ -147,7 +146,7 @@ def _stream_upsert(v):
     WHERE before IS NULL OR day - before > 14
     UNION ALL
     SELECT film_link, 'closed', CAST(day + 15 AS DATE) FROM around
-    WHERE later - day > 14""",
+    WHERE later - day > 14 OR (later IS NULL AND day + 15 <= {LAST} - 1)""",
 )
 def _stream_lifecycle(v):
     provider = "spark.sql.streaming.stateStore.providerClass"

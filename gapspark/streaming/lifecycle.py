@@ -32,7 +32,7 @@ class WindowKeeper(StatefulProcessor):
         self.handle = handle
         self.last_day = handle.getValueState("last_day", "day INT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         days = sorted({int(d) for part in rows for d in part["day_number"]})
         last = self.last_day.get()[0] if self.last_day.exists() else None
         events = []
@@ -49,7 +49,7 @@ class WindowKeeper(StatefulProcessor):
         self.handle.registerTimer((last + self.quiet_days + 1) * _DAY_MS)
         yield self._frame(key, events)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last_day.get()[0]
         self.last_day.clear()
         yield self._frame(key, [("closed", last + self.quiet_days + 1)])
