@@ -42,6 +42,16 @@ def clip_words(c: Column, n: int | None) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
 
 
+def within_words(c: Column, n: int) -> Column:
+    """Whether a text has at most n words; short texts are known by their length."""
+    return (F.length(c) < 2 * n) | (F.size(words(c)) <= n)
+
+
+def clip_long(c: Column, n: int | None) -> Column:
+    """``clip_words`` that leaves a text alone which cannot be too long."""
+    return c if n is None else F.when(F.length(c) < 2 * n, c).otherwise(clip_words(c, n))
+
+
 def sentences(c: Column) -> Column:
     return F.split(strip(c), fixed.SENTENCE_BREAK)
 

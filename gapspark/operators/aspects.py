@@ -10,6 +10,9 @@ aspects come from one ``inline``, so no join and no shuffle is needed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +22,32 @@ from gapspark.functions import scores, text
 ASPECTS = tuple(fixed.ASPECT_KEYWORDS)
 
 
-def keyword_pattern(aspect: str) -> str:
-    """Any keyword anywhere, also inside a word."""
-    return "|".join(fixed.ASPECT_KEYWORDS[aspect])
+def deciding_keywords(aspect: str) -> list[str]:
+    """Keywords of an aspect without those that contain another one of it."""
+    words = fixed.ASPECT_KEYWORDS[aspect]
+    return [w for w in words if not any(o != w and o in w for o in words)]
+
+
+def speaks_of(lowered: Column, aspect: str) -> Column:
+    """Any keyword anywhere, also inside a word: plain byte searches, no regex."""
+    return reduce(or_, (F.contains(lowered, F.lit(w)) for w in deciding_keywords(aspect)))
 
 
 def _marked(sentences: Column) -> Column:
     """Sentences with one bit per aspect they speak of."""
-    def mask(sentence: Column) -> Column:
-        lowered = F.lower(sentence)
-        total = F.lit(0)
-        for i, aspect in enumerate(ASPECTS):
-            total = total + F.when(lowered.rlike(keyword_pattern(aspect)), 1 << i).otherwise(0)
-        return total
+    def mask(lowered: Column) -> Column:
+        bits = (
+            F.when(speaks_of(lowered, aspect), 1 << i).otherwise(0)
+            for i, aspect in enumerate(ASPECTS)
+        )
+        return reduce(add, bits)
 
-    return F.transform(sentences, lambda s: F.struct(s.alias("text"), mask(s).alias("mask")))
+    both = F.arrays_zip(
+        sentences.alias("text"), F.transform(sentences, F.lower).alias("lowered")
+    )
+    return F.transform(
+        both, lambda s: F.struct(s["text"].alias("text"), mask(s["lowered"]).alias("mask"))
+    )
 
 
 def _speaking(marked: Column, bit: int) -> Column:
@@ -44,44 +58,48 @@ def aspect_rows(
     reviews: DataFrame,
     content: str = "review_content",
     max_words: int | None = fixed.ASPECT_WORDS,
+    with_text: bool = True,
 ) -> DataFrame:
-    """Eight rows per review: aspect, confidence, detected, text to judge.
+    """Eight rows per review: aspect, confidence, detected and the text to judge.
 
     Confidence looks at the first ``max_words`` words (None: all), the judged text
     is the first three speaking sentences of the whole review, or its first words
-    when none speaks.
+    when none speaks; ``with_text`` off leaves it out.
     """
     body = F.coalesce(content, F.lit(""))
-    whole = reviews.withColumn("_marked", _marked(text.long_sentences(body)))
-    if max_words is None:
-        clipped = F.col("_marked")
-    else:
-        short = F.size(text.words(body)) <= max_words
-        clipped = F.when(short, F.col("_marked")).otherwise(
-            _marked(text.long_sentences(text.clip_words(body, max_words)))
+    marked = reviews.withColumn("_sentences", text.long_sentences(body)).withColumn(
+        "_marked", _marked(F.col("_sentences"))
+    )
+    has_clip = max_words is not None
+    if has_clip:
+        clipped = _marked(text.long_sentences(text.clip_words(body, max_words)))
+        marked = marked.withColumn("_clipped", F.when(~text.within_words(body, max_words), clipped))
+    if with_text:
+        marked = marked.withColumn(
+            "_start",
+            F.left(text.clip_words(body, fixed.DEEP_WORDS), F.lit(fixed.ASPECT_CHARS)),
         )
-    marked = whole.withColumn("_clipped", clipped)
+    spoken = {f"_spoken{i}": _speaking(F.col("_marked"), i) for i in range(len(ASPECTS))}
+    parted = marked.withColumns(spoken)
 
     def row(bit: int, aspect: str) -> Column:
-        hits = F.size(_speaking(F.col("_clipped"), bit))
-        share = F.coalesce(
-            F.try_divide(hits.cast("double"), F.size("_clipped")), F.lit(0.0)
-        )
-        spoken = F.transform(
-            F.slice(_speaking(F.col("_marked"), bit), 1, fixed.ASPECT_SENTENCES),
-            lambda m: m["text"],
-        )
-        judged = F.when(F.size(spoken) > 0, F.array_join(spoken, " ")).otherwise(
-            text.clip_words(body, fixed.DEEP_WORDS)
-        )
-        return F.struct(
-            F.lit(aspect).alias("aspect"),
-            share.alias("confidence"),
-            F.left(judged, F.lit(fixed.ASPECT_CHARS)).alias("judged_text"),
-        )
+        own = F.col(f"_spoken{bit}")
+        hits, total = F.size(own), F.size("_marked")
+        if has_clip:
+            short = F.col("_clipped").isNull()
+            hits = F.when(short, hits).otherwise(F.size(_speaking(F.col("_clipped"), bit)))
+            total = F.when(short, total).otherwise(F.size("_clipped"))
+        share = F.coalesce(F.try_divide(hits.cast("double"), total), F.lit(0.0))
+        fields = [F.lit(aspect).alias("aspect"), share.alias("confidence")]
+        if with_text:
+            first = F.slice(own, 1, fixed.ASPECT_SENTENCES)
+            said = F.array_join(F.transform(first, lambda m: m["text"]), " ")
+            judged = F.when(F.size(own) > 0, said).otherwise(F.col("_start"))
+            fields.append(F.left(judged, F.lit(fixed.ASPECT_CHARS)).alias("judged_text"))
+        return F.struct(*fields)
 
     rows = F.array(*(row(i, a) for i, a in enumerate(ASPECTS)))
-    exploded = marked.select(*reviews.columns, F.inline(rows))
+    exploded = parted.select(*reviews.columns, F.inline(rows))
     return exploded.withColumn(
         "detected", F.col("confidence") > fixed.ASPECT_MIN_CONFIDENCE
     )
@@ -93,7 +111,8 @@ def detected_aspects(
     max_words: int | None = fixed.ASPECT_WORDS,
 ) -> DataFrame:
     """Aspects a review speaks of with enough confidence."""
-    return aspect_rows(reviews, content, max_words).where("detected").drop("detected")
+    rows = aspect_rows(reviews, content, max_words, with_text=False)
+    return rows.where("detected").drop("detected")
 
 
 def overall_sentiment(positive: Column, negative: Column, neutral: Column) -> Column:

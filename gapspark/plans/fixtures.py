@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapspark.operators import catalog
+from gapspark.session import spread
 
 ASOF = "2001-11-10"
 
@@ -173,9 +174,18 @@ class Views:
     @cached_property
     def plain_reviews(self) -> DataFrame:
         """Reviews without critic and publisher; needs one table only."""
+        return self._reviews_of(self.table("lineitem"))
+
+    @cached_property
+    def spread_reviews(self) -> DataFrame:
+        """The plain reviews over all cores, for work on their texts."""
+        lines = spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
+        return self._reviews_of(lines)
+
+    def _reviews_of(self, lines: DataFrame) -> DataFrame:
         order, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
         flag = F.col("l_returnflag")
-        return self.table("lineitem").select(
+        return lines.select(
             F.concat(F.lit("m/"), part.cast("string")).alias("film_link"),
             part.alias("film_id"),
             "l_suppkey",

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from gapspark import fixed
+from gapspark import fixed, session
+from gapspark.functions import scores
 from gapspark.operators import aspects, classify
 from gapspark.plans.registry import query
 
 KEYWORDS = ",\n".join(
-    f"({i}, '{a}', '{aspects.keyword_pattern(a)}')" for i, a in enumerate(aspects.ASPECTS)
+    f"({i}, '{a}', '{'|'.join(words)}')"
+    for i, (a, words) in enumerate(fixed.ASPECT_KEYWORDS.items())
 )
 ASPECTS = f"""
 WITH aspects AS (SELECT * FROM (VALUES {KEYWORDS}) AS t(pos, aspect, pattern)),
@@ -27,7 +29,7 @@ scored AS (
 
 
 def keyed_reviews(v):
-    return v.plain_reviews.select("film_link", "source", "external_id", "review_content")
+    return v.spread_reviews.select("film_link", "source", "external_id", "review_content")
 
 
 @query(
@@ -89,7 +91,8 @@ def _film_aspects(v):
       AS confidence FROM hits""",
 )
 def _document_aspects(v):
-    rows = aspects.aspect_rows(v.table("documents").select("doc_id", "text"), "text", None)
+    documents = session.spread(v.table("documents").select("doc_id", "text"), "doc_id")
+    rows = aspects.aspect_rows(documents, "text", None, with_text=False)
     return rows.select("doc_id", "aspect", F.round("confidence", 6).alias("confidence"))
 
 
@@ -107,8 +110,6 @@ def _document_aspects(v):
     FROM votes""",
 )
 def _overall_sentiment(v):
-    from gapspark.functions import scores
-
     stars = F.col("l_quantity").cast("int") % 5 + 1
     judged = v.table("lineitem").select(
         "l_orderkey",
@@ -164,7 +165,8 @@ def _unscored_reviews(v):
 
 def labelled_documents(v):
     """Documents with their quality label, the larger labelled corpus here."""
-    return v.table("documents").join(v.table("labels"), "doc_id").select(
+    documents = session.spread(v.table("documents"), "doc_id")
+    return documents.join(v.table("labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").cast("double").alias("label")
     )
 
@@ -246,11 +248,9 @@ SELECT term, round(w - 2.0E0 * slope, 6) AS w FROM w1 JOIN slopes USING (term)
 
 @query("incremental_step", (), STEP)
 def _incremental_step(v):
-    from gapspark.session import cut_lineage
-
     corpus = labelled_documents(v)
     idf = classify.document_weights(corpus, "text")
-    values = cut_lineage(v.spark, classify.term_values(corpus, "doc_id", "text", idf))
+    values = session.cut_lineage(v.spark, classify.term_values(corpus, "doc_id", "text", idf))
     labels = corpus.select("doc_id", "label")
     start = values.select("term").distinct().withColumn("w", F.lit(0.0))
     once = classify.gradient_step(start, values, labels, "doc_id", rate=2.0)
@@ -267,7 +267,7 @@ def _classifier_accuracy(v):
 
 def review_models(v):
     """Both models, trained on all reviews of the views."""
-    train = v.plain_reviews.select("review_content", F.col("label").cast("double").alias("label"))
+    train = v.spread_reviews.select("review_content", F.col("label").cast("double").alias("label"))
     return classify.fit_models(train, "review_content", "label", max_iter=10)
 
 

@@ -56,6 +56,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df, *keys: str):
+    """Redistribute a scan that has fewer splits than the session has cores.
+
+    For row-local work that is heavy on CPU, over inputs of a few small files. A
+    scan with enough splits is returned as it is, so large inputs never pay for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def cut_lineage(spark: SparkSession, df):
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(spark)
