@@ -31,6 +31,11 @@ def normalised_type(c: Column) -> Column:
     return capitalised(strip(c))
 
 
+def is_type(c: Column, name: str) -> Column:
+    """Whether a review type is ``name`` once trimmed and capitalised."""
+    return F.lower(strip(c)) == name.lower()
+
+
 def words(c: Column) -> Column:
     return F.split(strip(c), fixed.SPACE_CLASS + "+")
 

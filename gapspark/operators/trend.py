@@ -11,13 +11,13 @@ from gapspark.functions import dates, stats, text
 
 def _by_month(reviews: DataFrame) -> DataFrame:
     """Counts per film and month; reviews without a date form the NULL month."""
-    kind = text.normalised_type(F.col("review_type"))
+    kind = F.col("review_type")
     counted = reviews.groupBy(
         "film_link", dates.month_of(F.col("review_date")).alias("month")
     ).agg(
         F.count("*").alias("reviews"),
-        F.count_if(kind == "Fresh").alias("fresh_count"),
-        F.count_if(kind == "Rotten").alias("rotten_count"),
+        F.count_if(text.is_type(kind, "Fresh")).alias("fresh_count"),
+        F.count_if(text.is_type(kind, "Rotten")).alias("rotten_count"),
     )
     decided = F.col("fresh_count") + F.col("rotten_count")
     return counted.withColumn("total", decided).withColumn(

@@ -173,12 +173,7 @@ class Views:
 
     @cached_property
     def plain_reviews(self) -> DataFrame:
-        """Reviews without critic and publisher; needs one table only."""
-        return self._reviews_of(self.table("lineitem"))
-
-    @cached_property
-    def spread_reviews(self) -> DataFrame:
-        """The plain reviews over all cores, for work on their texts."""
+        """Reviews without critic and publisher, from one table over all cores."""
         lines = spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
         return self._reviews_of(lines)
 
@@ -228,7 +223,7 @@ class Views:
         fresh = F.when(F.col("review_type") == "Fresh", 1.0).when(
             F.col("review_type") == "Rotten", 0.0
         )
-        rated = self.plain_reviews.groupBy("film_id").agg(
+        rated = self._reviews_of(self.table("lineitem")).groupBy("film_id").agg(
             F.round(F.avg(fresh) * 100).alias("fresh_pct"),
             F.max("review_date").alias("last_review"),
         )

@@ -62,6 +62,8 @@ def spread(df, *keys: str):
     For row-local work that is heavy on CPU, over inputs of a few small files. A
     scan with enough splits is returned as it is, so large inputs never pay for it.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

@@ -47,7 +47,8 @@ class WindowKeeper(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((last + self.quiet_days + 1) * _DAY_MS)
-        yield self._frame(key, events)
+        if events:
+            yield self._frame(key, events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last_day.get()[0]

@@ -68,14 +68,14 @@ def window_counts(
     delay: str = "1 day", watermark: bool = True,
 ) -> DataFrame:
     """Fresh and rotten counts per time window (tumbling, or sliding by ``slide``)."""
-    kind = text.normalised_type(F.col("review_type"))
+    kind = F.col("review_type")
     source = stream.withWatermark(ts, delay) if watermark else stream
     spans = F.window(ts, width, slide) if slide else F.window(ts, width)
     return (
         source.groupBy(spans.alias("span"))
         .agg(
-            F.count_if(kind == "Fresh").alias("fresh_count"),
-            F.count_if(kind == "Rotten").alias("rotten_count"),
+            F.count_if(text.is_type(kind, "Fresh")).alias("fresh_count"),
+            F.count_if(text.is_type(kind, "Rotten")).alias("rotten_count"),
         )
         .select(
             F.col("span.start").alias("window_start"),
