@@ -166,23 +166,39 @@ def judge_aspects(rows: DataFrame, model) -> DataFrame:
     )
 
 
+OPINION_COLUMNS = (
+    "fast_label", "fast_confidence", "deep_label", "deep_confidence",
+    "sentiment", "confidence", "agreement", "model",
+)
+
+
 def review_analysis(
-    reviews: DataFrame, keys: list[str], model, content: str = "review_content"
+    reviews: DataFrame, keys: list[str], models, content: str = "review_content"
 ) -> DataFrame:
-    """One row per review: its eight aspects, overall sentiment and ensemble."""
-    judged = judge_aspects(aspect_rows(reviews.select(*keys, content), content), model)
+    """One row per review: its eight aspects, overall sentiment and both opinions.
+
+    The opinions are taken before the aspects are laid out, so that only short
+    columns, not the texts, go through the aggregation.
+    """
+    opinions = models.ensemble(reviews.select(*keys, content), content)
+    opinion = F.struct(*OPINION_COLUMNS)
+    rows = aspect_rows(opinions.select(*keys, content, opinion.alias("_opinion")), content)
+    judged = judge_aspects(rows.drop(content), models).drop("judged_text")
     listed = F.sort_array(
         F.collect_list(
-            F.struct("aspect", "confidence", "sentiment", "sentiment_confidence", "stars")
+            F.struct("aspect", "confidence", "stars", "sentiment", "sentiment_confidence")
         )
     )
-
-    def votes(word: str) -> Column:
-        return F.count_if(F.col("detected") & (F.col("sentiment") == word))
-
-    per_review = judged.groupBy(*keys).agg(
-        listed.alias("aspects"),
-        overall_sentiment(votes("Positive"), votes("Negative"), votes("Neutral")).alias("overall"),
-        F.first(content).alias(content),
+    votes = {
+        word: F.count_if(F.col("detected") & (F.col("sentiment") == word))
+        for word in ("Positive", "Negative", "Neutral")
+    }
+    return (
+        judged.groupBy(*keys)
+        .agg(
+            listed.alias("aspects"),
+            overall_sentiment(*votes.values()).alias("overall"),
+            F.first("_opinion").alias("_opinion"),
+        )
+        .select(*keys, "aspects", "overall", "_opinion.*")
     )
-    return model.ensemble(per_review, content).drop(content)

@@ -38,7 +38,8 @@ def new_rows(
     """
     complete = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     firsts = first_per_key(incoming.where(complete), keys, order)
-    present = stored.select(*keys).join(incoming.where(complete).select(*keys), keys, "left_semi")
+    asked = incoming.where(complete).select(*keys).distinct()
+    present = stored.select(*keys).join(asked, keys, "left_semi")
     return firsts.join(present, keys, "left_anti").unionByName(incoming.where(~complete))
 
 

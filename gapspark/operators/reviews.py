@@ -17,8 +17,15 @@ def newest_first() -> list[Column]:
 
 
 def film_reviews(films: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Every film with its reviews; films without reviews stay as one row."""
-    return films.join(reviews.withColumnRenamed("source", "review_source"), "film_link", "left")
+    """Every film with its reviews; films without reviews stay as one row.
+
+    An inner join plus the films that have none: unlike the null-supplying side of
+    an outer join, the reviews of a hot film can then be split over tasks.
+    """
+    own = reviews.withColumnRenamed("source", "review_source")
+    matched = films.join(own, "film_link")
+    lonely = films.join(own.select("film_link").distinct(), "film_link", "left_anti")
+    return matched.unionByName(lonely, allowMissingColumns=True)
 
 
 def latest_reviews(reviews: DataFrame, n: int = fixed.LATEST_REVIEWS) -> DataFrame:
