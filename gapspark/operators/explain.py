@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gapspark import fixed
 from gapspark.functions import scores, text
-from gapspark.operators import catalog, reviews as review_ops
+from gapspark.operators import catalog, merge, reviews as review_ops
 
 
-def quote_candidates(reviews: DataFrame) -> DataFrame:
+def quote_candidates(reviews: DataFrame, salts: int = 0) -> DataFrame:
     """The newest reviews per film and type that a quote may come from.
 
     Twelve per type are enough for every case: the newest ten of a film are each
@@ -30,20 +30,20 @@ def quote_candidates(reviews: DataFrame) -> DataFrame:
         F.coalesce(kind, F.lit("other")).alias("kind"),
         text.first_quote(F.col("review_content")).alias("quote"),
     )
-    by_kind = Window.partitionBy("film_link", "kind").orderBy(*review_ops.newest_first())
-    return slim.withColumn("kind_place", F.row_number().over(by_kind)).where(
-        F.col("kind_place") <= fixed.QUOTE_LEAD
+    return merge.top_per_group(
+        slim, ["film_link", "kind"], review_ops.newest_first(), fixed.QUOTE_LEAD, "kind_place",
+        salts,
     )
 
 
-def quotes(films: DataFrame, reviews: DataFrame) -> DataFrame:
+def quotes(films: DataFrame, reviews: DataFrame, salts: int = 0) -> DataFrame:
     """Up to three quotes per film, the side that explains the gap first.
 
     A film audiences preferred is explained by its rotten reviews, one critics
     preferred by its fresh ones; otherwise the newest reviews speak.
     """
     rated = catalog.scored_films(films).select("film_link", "gap")
-    near = quote_candidates(reviews).join(rated, "film_link")
+    near = quote_candidates(reviews, salts).join(rated, "film_link")
     overall = Window.partitionBy("film_link").orderBy(*review_ops.newest_first())
     gap, kind, kind_place = F.col("gap"), F.col("kind"), F.col("kind_place")
     lead = F.when(gap < -fixed.GAP_BOUND, "Rotten").when(gap > fixed.GAP_BOUND, "Fresh")

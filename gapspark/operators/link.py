@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapspark.functions import text
@@ -11,16 +11,24 @@ from gapspark.operators import merge
 REVIEW_KEY = ["film_link", "source", "external_id"]
 
 
-def title_index(films: DataFrame) -> DataFrame:
-    """(title_key, film_link): the lowest film key of every lower-case title."""
+def title_key(title: Column, fold_accents: bool = False) -> Column:
+    """What two equal titles share: their lower case, with or without accents."""
+    lowered = F.lower(title)
+    return F.collate(lowered, "UNICODE_CI_AI") if fold_accents else lowered
+
+
+def title_index(films: DataFrame, fold_accents: bool = False) -> DataFrame:
+    """(title_key, film_link): the lowest film key of every title."""
     return (
         films.where("movie_title IS NOT NULL")
-        .groupBy(F.lower("movie_title").alias("title_key"))
+        .groupBy(title_key(F.col("movie_title"), fold_accents).alias("title_key"))
         .agg(F.min("film_link").alias("film_link"))
     )
 
 
-def resolve_titles(titles: DataFrame, column: str, films: DataFrame) -> DataFrame:
+def resolve_titles(
+    titles: DataFrame, column: str, films: DataFrame, fold_accents: bool = False
+) -> DataFrame:
     """(title_key, film_link) for the distinct titles that have a film.
 
     The full title decides; failing that the part before its first colon. Working
@@ -30,28 +38,31 @@ def resolve_titles(titles: DataFrame, column: str, films: DataFrame) -> DataFram
     wanted = (
         titles.where(F.col(column) != "")
         .select(
-            F.lower(column).alias("title_key"),
-            F.lower(text.main_title(F.col(column))).alias("short_key"),
+            title_key(F.col(column), fold_accents).alias("title_key"),
+            title_key(text.main_title(F.col(column)), fold_accents).alias("short_key"),
         )
         .distinct()
     )
-    index = title_index(films)
+    index = title_index(films, fold_accents)
     by_short = index.select(
         F.col("title_key").alias("short_key"), F.col("film_link").alias("short_link")
     )
     return (
         wanted.join(index, "title_key", "left")
         .join(by_short, "short_key", "left")
-        .select("title_key", F.coalesce("film_link", "short_link").alias("film_link"))
+        .groupBy("title_key")
+        .agg(F.min(F.coalesce("film_link", "short_link")).alias("film_link"))
         .where("film_link IS NOT NULL")
     )
 
 
-def link_articles(articles: DataFrame, films: DataFrame, title: str = "film_title") -> DataFrame:
+def link_articles(
+    articles: DataFrame, films: DataFrame, title: str = "film_title", fold_accents: bool = False
+) -> DataFrame:
     """Articles with the film_link of their title, NULL when there is none."""
-    found = resolve_titles(articles.select(title), title, films)
+    found = resolve_titles(articles.select(title), title, films, fold_accents)
     return (
-        articles.withColumn("title_key", F.lower(title))
+        articles.withColumn("title_key", title_key(F.col(title), fold_accents))
         .join(found, "title_key", "left")
         .drop("title_key")
     )

@@ -17,14 +17,30 @@ UPSERT_COLUMNS = (
 )
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of every key in a total order.
+def top_per_group(
+    df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "place",
+    salts: int = 0,
+) -> DataFrame:
+    """The first n rows of every group in a total order, with their rank.
 
-    Filtering a row number to 1 lets Spark cut every map partition to one row per
-    key before the shuffle, so a key with very many copies stays cheap.
+    The bound on the row number lets Spark cut every map partition to n rows per
+    group before the shuffle. What a hot group then sends to its one task grows
+    with the number of map tasks only; ``salts`` bounds that too: the map tasks are
+    dealt to that many parts of the group, each cut to n rows of its own first.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    if salts:
+        salted = df.withColumn("_salt", F.spark_partition_id() % salts)
+        part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+        df = salted.withColumn("_part", part).where(F.col("_part") <= n).drop("_salt", "_part")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(rank, place).where(F.col(rank) <= n)
+
+
+def first_per_key(
+    df: DataFrame, keys: list[str], order: list[Column], salts: int = 0
+) -> DataFrame:
+    """The first row of every key in a total order; many copies of a key are cheap."""
+    return top_per_group(df, keys, order, 1, "_rank", salts).drop("_rank")
 
 
 def new_rows(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapspark import fixed
 from gapspark.functions import dates, scores, text
+from gapspark.operators import merge
 
 
 def newest_first() -> list[Column]:
@@ -28,14 +29,11 @@ def film_reviews(films: DataFrame, reviews: DataFrame) -> DataFrame:
     return matched.unionByName(lonely, allowMissingColumns=True)
 
 
-def latest_reviews(reviews: DataFrame, n: int = fixed.LATEST_REVIEWS) -> DataFrame:
-    """The newest n reviews of every film.
-
-    The bound on the row number cuts each map partition to n rows per film before
-    the shuffle, so a film with a third of all reviews sends little.
-    """
-    place = F.row_number().over(Window.partitionBy("film_link").orderBy(*newest_first()))
-    return reviews.withColumn("place", place).where(F.col("place") <= n)
+def latest_reviews(
+    reviews: DataFrame, n: int = fixed.LATEST_REVIEWS, salts: int = 0
+) -> DataFrame:
+    """The newest n reviews of every film, placed from 1."""
+    return merge.top_per_group(reviews, ["film_link"], newest_first(), n, salts=salts)
 
 
 def has_label(word: str) -> Column:

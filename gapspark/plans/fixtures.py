@@ -201,10 +201,10 @@ class Views:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        critics = self.table("supplier").join(
-            self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")
-        )
-        named = self.plain_reviews.join(critics, F.col("l_suppkey") == F.col("s_suppkey"))
+        # One small table after the other: Spark then sees the size of each.
+        named = self.plain_reviews.join(
+            self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
+        ).join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         return named.select(
             "film_link",
             "film_id",

@@ -319,6 +319,29 @@ def _articles_plain(v):
     return documents.articles_plain(docs_plain(v))
 
 
+@query(
+    "articles_of_both",
+    ("fx_articles",),
+    "WITH"
+    + TITLES
+    + """SELECT film_title, 'guardian' AS source, count(*) AS articles,
+      count(*) FILTER (stars IS NOT NULL AND CAST(stars AS INT) < 3) AS rotten
+    FROM titles WHERE body <> '' GROUP BY film_title
+    UNION ALL
+    SELECT film_title, 'nyt', count(*), 0
+    FROM (SELECT *, trim(coalesce(nullif(CASE WHEN article_id % 3 = 0 THEN '' ELSE body END, ''),
+        CASE WHEN article_id % 9 <> 0 THEN 'Lead. ' || body END, '')) AS content FROM titles)
+    WHERE content <> '' GROUP BY film_title""",
+)
+def _articles_of_both(v):
+    both = documents.articles_with_stars(docs_with_stars(v)).unionByName(
+        documents.articles_plain(docs_plain(v))
+    )
+    return both.groupBy("film_title", "source").agg(
+        F.count("*").alias("articles"), F.count_if(F.col("review_type") == "Rotten").alias("rotten")
+    )
+
+
 def review_rows(v):
     """Articles of both sources as review rows with the title in their headline."""
     return v.articles.select(

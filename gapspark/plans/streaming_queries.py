@@ -88,8 +88,9 @@ runs AS (SELECT film_link, min(review_date) AS session_start,
     SESSIONS + f"SELECT * FROM runs WHERE session_end <= {LAST} - 1",
 )
 def _stream_sessions(v):
-    runs = stream_ops.activity_sessions(review_stream(v), "ts")
-    rows, _ = stream_ops.run_to_table(v.spark, runs, "sessions")
+    with session.setting(v.spark, session.LOCAL_SESSION_MERGE, "true"):
+        runs = stream_ops.activity_sessions(review_stream(v), "ts")
+        rows, _ = stream_ops.run_to_table(v.spark, runs, "sessions")
     return v.spark.read.parquet(rows).select(
         "film_link",
         F.col("session_start").cast("date").alias("session_start"),
@@ -149,12 +150,7 @@ def _stream_upsert(v):
     WHERE later - day > 14 OR (later IS NULL AND day + 15 <= {LAST} - 1)""",
 )
 def _stream_lifecycle(v):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = v.spark.conf.get(provider)
-    v.spark.conf.set(provider, lifecycle.STATE_PROVIDER)
-    try:
+    with session.setting(v.spark, session.STATE_STORE, lifecycle.STATE_PROVIDER):
         events = lifecycle.window_events(lifecycle.review_days(review_stream(v), "ts"))
         rows, _ = stream_ops.run_to_table(v.spark, events, "lifecycle")
-    finally:
-        v.spark.conf.set(provider, before)
     return v.spark.read.parquet(rows)

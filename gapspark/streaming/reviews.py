@@ -34,10 +34,23 @@ def read_parquet_stream(
 
 
 def dedupe(
-    stream: DataFrame, ts: str, delay: str = "1 day", keys: tuple[str, ...] = ("source", "external_id")
+    stream: DataFrame,
+    ts: str,
+    delay: str = "1 day",
+    keys: tuple[str, ...] = ("source", "external_id"),
+    salts: int = 8,
 ) -> DataFrame:
-    """The first row of every key; a key is remembered for the delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    """The first row of every key; a key is remembered for the delay.
+
+    A stream has no map-side step here, so all copies of a key would meet in one
+    task. They are therefore reduced in ``salts`` parts first, by the task that
+    read them, and the survivors of the parts once more (0: in one step).
+    """
+    marked = stream.withWatermark(ts, delay)
+    if salts:
+        parted = marked.withColumn("_salt", F.spark_partition_id() % salts)
+        marked = parted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
 def link_stream(articles: DataFrame, films: DataFrame, title: str = "film_title") -> DataFrame:

@@ -192,6 +192,20 @@ def test_colon_title_falls_back(spark):
     ]
 
 
+def test_titles_may_differ_in_accents(spark):
+    known = spark.createDataFrame(
+        [("m/2", "Amélie"), ("m/3", "Amelie")], "film_link string, movie_title string"
+    )
+    articles = spark.createDataFrame(
+        [("1", "AMELIE"), ("2", "Amélie"), ("3", "amelié: the return")],
+        "external_id string, film_title string",
+    )
+    plain = link.link_articles(articles, known).orderBy("external_id")
+    assert [r.film_link for r in plain.collect()] == ["m/3", "m/2", None]
+    folded = link.link_articles(articles, known, fold_accents=True).orderBy("external_id")
+    assert [r.film_link for r in folded.collect()] == ["m/2", "m/2", "m/2"]
+
+
 # --- reviews and explanation -------------------------------------------------
 
 
@@ -244,6 +258,28 @@ def test_quotes_look_no_further_than_the_candidates(spark):
     assert explain.quotes(base, review_frame(spark, rows)).count() == 0
 
 
+def test_a_hot_film_gives_the_same_with_and_without_salts(spark, folder):
+    """One film with a third of all reviews, from many map tasks."""
+    made = Views(spark, folder).reviews.withColumn(
+        "film_link",
+        F.when(F.xxhash64("external_id") % 3 == 0, "m/hot").otherwise(F.col("film_link")),
+    ).repartition(12)
+    assert made.where("film_link = 'm/hot'").count() > made.count() / 5
+    columns = ["film_link", "place", "source", "external_id", "review_date"]
+    plain = reviews.latest_reviews(made.select(*columns[:1], *columns[2:]))
+    salted = reviews.latest_reviews(made.select(*columns[:1], *columns[2:]), salts=4)
+    key = ["film_link", "place", "review_date"]
+    assert sorted(values(plain.select(*key))) == sorted(values(salted.select(*key)))
+    base = catalog.with_gap(
+        films(spark, [("m/hot", "Hot", 90.0, 10.0), ("m/1", "A", 10.0, 90.0), ("m/2", "B", 5.0, 5.0)])
+    )
+    shown = ["film_link", "place", "quote_type"]
+    left = explain.quotes(base, made).select(*shown)
+    right = explain.quotes(base, made, salts=4).select(*shown)
+    assert left.where("film_link = 'm/hot'").count() == 3
+    assert sorted(values(left)) == sorted(values(right))
+
+
 def test_explain_row(spark):
     base = catalog.with_gap(films(spark, [("m/1", "A", 90.0, 10.0), ("m/2", "B", None, 1.0)]))
     rows = [("m/1", dt.date(2024, 1, 1), "s", "1", "c", "p", "Fresh", quotable(1))]
@@ -471,6 +507,13 @@ def test_month_partitions_end_at_the_last_day(spark):
     ]
 
 
+def test_metrics_file(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    made = spark.createDataFrame([("tfidf_sgd", "test", 10, 0.9)], "model string, split string, samples long, accuracy double")
+    tables.write_metrics(made, path)
+    assert spark.read.json(path).first().accuracy == 0.9
+
+
 def test_review_table_round_trip(spark, folder, tmp_path):
     path = str(tmp_path / "reviews")
     made = Views(spark, folder).reviews

@@ -90,14 +90,9 @@ def test_window_events_over_several_batches(spark, landing):
     put(("m/1", "a", "3", "Fresh", at(14)))
     put(("m/1", "a", "4", "Fresh", at(40)))
     put(("m/2", "a", "5", "Fresh", at(90)))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, lifecycle.STATE_PROVIDER)
-    try:
+    with session.setting(spark, session.STATE_STORE, lifecycle.STATE_PROVIDER):
         events = lifecycle.window_events(lifecycle.review_days(stream(), "ts"))
         rows, _ = ops.run_to_table(spark, events, "events")
-    finally:
-        spark.conf.set(provider, before)
     got = sorted(values(spark.read.parquet(rows)), key=lambda r: (r[0], r[2]))
     assert got == [
         ("m/1", "opened", at(0).date()), ("m/1", "closed", at(29).date()),
