@@ -7,21 +7,22 @@ from gapspark.functions import scores
 from gapspark.operators import aspects, classify
 from gapspark.plans.registry import query
 
-KEYWORDS = ",\n".join(
-    f"({i}, '{a}', '{'|'.join(words)}')"
-    for i, (a, words) in enumerate(fixed.ASPECT_KEYWORDS.items())
-)
+def hits_sql(columns: str) -> str:
+    """The rows of ``split`` per aspect with the sentences that hold a keyword."""
+    return "\n  UNION ALL\n  ".join(
+        f"""SELECT {columns}, '{aspect}' AS aspect, sentences, list_filter(sentences,
+    lambda s: regexp_matches(lower(s), '{"|".join(words)}')) AS spoken FROM split"""
+        for aspect, words in fixed.ASPECT_KEYWORDS.items()
+    )
+
+
 ASPECTS = f"""
-WITH aspects AS (SELECT * FROM (VALUES {KEYWORDS}) AS t(pos, aspect, pattern)),
-split AS (
+WITH split AS (
   SELECT film_link, source, external_id, review_content, list_filter(list_transform(string_split(
       regexp_replace(trim(review_content), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
       lambda s: trim(s)), lambda s: length(s) > 10) AS sentences
   FROM fx_reviews),
-hits AS (
-  SELECT film_link, source, external_id, aspect, review_content, sentences,
-    list_filter(sentences, lambda s: regexp_matches(lower(s), pattern)) AS spoken
-  FROM split, aspects),
+hits AS ({hits_sql("film_link, source, external_id, review_content")}),
 scored AS (
   SELECT *, coalesce(CAST(len(spoken) AS DOUBLE) / nullif(len(sentences), 0), 0) AS confidence
   FROM hits)
@@ -77,18 +78,18 @@ def _film_aspects(v):
 @query(
     "document_aspects",
     (),
-    ASPECTS.split("split AS")[0]
-    + """split AS (
+    """WITH split AS (
       SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(
           trim(text, chr(9) || chr(10) || chr(13) || ' '),
           '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
           lambda s: trim(s, chr(9) || chr(10) || chr(13) || ' ')), lambda s: length(s) > 10)
         AS sentences FROM documents),
-    hits AS (SELECT doc_id, aspect, len(sentences) AS n,
-        len(list_filter(sentences, lambda s: regexp_matches(lower(s), pattern))) AS spoken
-      FROM split, aspects)
-    SELECT doc_id, aspect, round(coalesce(CAST(spoken AS DOUBLE) / nullif(n, 0), 0), 6)
-      AS confidence FROM hits""",
+    hits AS ("""
+    + hits_sql("doc_id")
+    + """)
+    SELECT doc_id, aspect,
+      round(coalesce(CAST(len(spoken) AS DOUBLE) / nullif(len(sentences), 0), 0), 6) AS confidence
+    FROM hits""",
 )
 def _document_aspects(v):
     documents = session.spread(v.table("documents").select("doc_id", "text"), "doc_id")
