@@ -49,6 +49,21 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def local_partitions(spark: SparkSession):
+    """On a local master, no more shuffle partitions than cores for a block.
+
+    A stream fixes its number of state partitions when it first starts, and each
+    costs a task per batch; on a cluster the session's own setting stands.
+    """
+    key = "spark.sql.shuffle.partitions"
+    current = int(spark.conf.get(key))
+    if spark.sparkContext.master.startswith("local"):
+        current = min(current, spark.sparkContext.defaultParallelism)
+    with setting(spark, key, str(current)):
+        yield
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
@@ -86,7 +101,7 @@ def spread(df, *keys: str):
 
 def cut_lineage(spark: SparkSession, df):
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(spark)
+    folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
