@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept with their result in one worker.
-MEMO_SIZE = 400_000
+MEMO_SIZE = 800_000
 NONE = np.iinfo(np.int32).max
 
 

@@ -7,12 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gapspark.llm import token_counts, token_files
+from gapspark.llm import quality_model, quality_rules, token_counts, token_files
 from gapspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def ordinal_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_model.OrdinalModel:
+    return quality_model.train(docs, quality_model.graded(table(spark, sf_dir, "labels")), grades=3)
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.apply(docs, ordinal_model(spark, docs, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_digests(spark, table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
 
@@ -23,6 +36,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
+    "op8_quality_model": op8_quality_model,
     "op6_token_files": op6_token_files,
     "op10_token_counts": op10_token_counts,
 }

@@ -19,6 +19,8 @@ from gapspark.session import fresh_path
 
 #: Ids after which a writer closes its file: bounds a task's memory on either side.
 FILE_IDS = 3_000_000
+#: Files that one reading task decodes, one after the other.
+FILES_PER_TASK = 4
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
 
 
@@ -140,7 +142,8 @@ def read_ids(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFra
     """
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
-    files = files.select("file", "base").repartition(F.col("file"))
+    # a partition to a few files; a plain exchange would be coalesced by its few bytes
+    files = files.select("file", "base").repartition(-(-manifest.count() // FILES_PER_TASK) or 1)
     schema = "key long, start long, n_ids long, crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
