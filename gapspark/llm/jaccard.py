@@ -6,9 +6,10 @@ documents that share such an element form a task: the sets of its members are pu
 trie, and a query set walks it, sharing the overlap of common beginnings and leaving a
 subtree when what remains is too short for a link.
 
-Only components are asked for, so a first round compares every member with one member
-of its task; tasks whose members are then in one component are done. The others compare
-the rest in full, in blocks of bounded size.
+Short lists of documents that share an element give pairs. In a long list (many
+near copies) every member is first compared with one of them; only components are asked
+for, so a list whose members are then in one component is done. The other long lists
+are compared in full, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -306,7 +307,8 @@ def need(a, b, percent: int):
 
 
 def jaccard_groups(
-    df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", block: int = BLOCK
+    df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", block: int = BLOCK,
+    small: int = 64,
 ) -> DataFrame:
     """One row per row: key, n_shingles, component_id (smallest key reachable by links).
 
@@ -327,30 +329,29 @@ def jaccard_groups(
     chosen = held.join(owners.withColumnRenamed("rep", "id"), ["size", "digest", "id"], "left_semi")
     chosen = stored(chosen.dropDuplicates(["size", "digest", "id"]).select("id", "size", "prefix"), "jaccard-prefixes")
     entries = chosen.select("id", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
-    lists = stored(entries.join(shared, "token").select("token", "id", "size", "at"), "jaccard-lists")
-    first = lists.groupBy("token").agg(F.min(F.struct("size", "at", "id")).alias("p"))
-    pairs = lists.join(first, "token").select("id", "size", "at", F.col("p.id").alias("pivot"), F.col("p.size").alias("ps"), F.col("p.at").alias("pa"))
-    # if the element is the first that both hold, the rest of either must have room for the link
-    room = F.least(F.col("size") - F.col("at"), F.col("ps") - F.col("pa"))
-    fit = (F.col("id") != F.col("pivot")) & (room >= need(F.col("size"), F.col("ps"), percent))
-    pairs = stored(pairs.where(fit).select("id", "pivot").distinct(), "jaccard-pivots")
-    candidates = stored(lists.select("id").distinct(), "jaccard-candidates")
+    seen = entries.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.min("id").alias("lo"), F.max("id").alias("hi")
+    )
+    lists = entries.join(seen.where("lo <> hi").select("token", "n", "least"), "token")
+    # a linked pair meets in the list of the first element both hold; a member needs room
+    # there for a partner of the list's least size, and of at least percent of its own
+    partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / 100))
+    roomy = F.col("size") - F.col("at") >= need(F.col("size"), partner, percent)
+    lists = stored(lists.where(roomy).select("token", "id", "size", "at", "n"), "jaccard-lists")
+    pairs = stored(
+        short_pairs(lists.where(F.col("n") <= small), percent).union(pivot_pairs(lists.where(F.col("n") > small))).distinct(),
+        "jaccard-pairs",
+    )
+    candidates = stored(pairs.select("id").union(pairs.select(F.col("pivot").alias("id"))).distinct(), "jaccard-candidates")
     sets = stored(sets_of(docs.join(candidates, "id", "left_semi"), classes, n), "jaccard-sets")
     labels = candidates.select("id", F.col("id").alias("component"))
-    # round one: members with their list's pivot, so many members to a task
-    salted = dealt(pairs, "pivot", block).withColumnRenamed("own", "salt")
-    queries = salted.select("pivot", "salt").distinct()
-    task = F.concat_ws("/", F.col("pivot").cast("string"), F.col("salt").cast("string")).alias("task")
-    tasks = salted.select(task, "id", F.lit(False).alias("is_query"), F.lit(True).alias("is_member")).union(
-        queries.select(task, F.col("pivot").alias("id"), F.lit(True), F.lit(False))
-    )
-    links = stored(run_tasks(tasks, sets, labels, percent), "jaccard-links")
+    links = stored(run_tasks(tasks_of_pairs(pairs, block), sets, labels, percent), "jaccard-links")
     labels = connected(candidates, links)
-    # round two: lists whose members are in several components
-    left = stored(open_lists(lists.join(labels, "id"), percent), "jaccard-open")
-    links = stored(run_tasks(blocks_of_tasks(left, block), sets, labels, percent), "jaccard-links")
-    labels = connected(candidates, links, labels)
+    # long lists whose members are still in several components are compared in full
+    left = stored(open_lists(lists.where(F.col("n") > small).join(labels, "id")), "jaccard-open")
+    if left.head(1):
+        links = stored(run_tasks(blocks_of_tasks(left, block), sets, labels, percent), "jaccard-links")
+        labels = connected(candidates, links, labels)
     # a class takes its representative's component, a key the smallest of its classes
     of_class = owners.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("size", "digest", F.coalesce("component", "rep").alias("component"))
     member = marked.join(of_class, ["size", "digest"], "left")
@@ -360,20 +361,37 @@ def jaccard_groups(
     )
 
 
-def open_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """list, id of the token lists that still hold a possible pair, each set of members once.
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(id, pivot) pairs that may link, of lists of a bounded number of members."""
+    a = lists.select("token", F.col("id").alias("pivot"), F.col("size").alias("sa"), F.col("at").alias("pa"))
+    b = lists.select("token", "id", F.col("size").alias("sb"), F.col("at").alias("pb"))
+    room = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+    fit = (F.col("pivot") < F.col("id")) & (room >= need(F.col("sa"), F.col("sb"), percent))
+    return a.join(b, "token").where(fit).select("id", "pivot")
 
-    A linked pair meets in the list of the first element both hold. There a member needs
-    room for its link to a partner of the list's least size, and of at least percent of
-    its own: members without are left out. Lists of the same members are one list,
-    named by an order-free digest of them.
-    """
-    bounds = lists.groupBy("token").agg(F.min("size").alias("least"))
-    partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / 100))
-    known = lists.join(bounds, "token").where(F.col("size") - F.col("at") >= need(F.col("size"), partner, percent))
-    named = known.groupBy("token").agg(
+
+def pivot_pairs(lists: DataFrame) -> DataFrame:
+    """Each member of a list with the list's first one: as many pairs as members."""
+    first = lists.groupBy("token").agg(F.min(F.struct("size", "id")).alias("p"))
+    return lists.join(first, "token").select("id", F.col("p.id").alias("pivot")).where("id <> pivot")
+
+
+def tasks_of_pairs(pairs: DataFrame, block: int) -> DataFrame:
+    """Tasks whose query is a pivot and whose members are up to about ``block`` partners."""
+    salted = dealt(pairs, "pivot", block)
+    task = F.concat_ws("/", F.col("pivot").cast("string"), F.col("own").cast("string")).alias("task")
+    queries = salted.select("pivot", "own").distinct()
+    return salted.select(task, "id", F.lit(False).alias("is_query"), F.lit(True).alias("is_member")).union(
+        queries.select(task, F.col("pivot").alias("id"), F.lit(True), F.lit(False))
+    )
+
+
+def open_lists(lists: DataFrame) -> DataFrame:
+    """list, id of lists with members in several components; lists of the same members,
+    named by an order-free digest of them, are one."""
+    named = lists.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
         F.min("component").alias("lo"), F.max("component").alias("hi"),
     )
     one = named.where("lo <> hi").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
-    return known.join(one, "token").select(F.col("token").alias("list"), "id").distinct()
+    return lists.join(one, "token").select(F.col("token").alias("list"), "id").distinct()
