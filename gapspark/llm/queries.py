@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gapspark.llm import html_extract, jaccard, license_scan, packing, quality_model, quality_rules, token_counts, token_files, warc
+from gapspark.llm import decontaminate, html_extract, jaccard, license_scan, packing, quality_model, quality_rules, token_counts, token_files, warc
 from gapspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(spark, table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_html_extract": op2_html_extract,
     "op3_jaccard": op3_jaccard,
+    "op7_decontaminate": op7_decontaminate,
     "op9_warc": op9_warc,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
