@@ -47,6 +47,8 @@ PAGES = (
     f"""<body><div><p>+ {LONG}</p><p>+ {LONG}</p></div></body>""",
     f"""<body><nav><a>one</a></nav><article><p>+ {LONG}</p><p>+ few words</p><p>+ {MIDDLE}</p></article></body>""",
     f"""<body><article><p>+ few words</p><p>+ x</p></article></body>""",
+    f"""<body><div class="menu">{MIDDLE}</div><main><p>+ few words</p></main></body>""",
+    f"""<body><div class="menu">short</div><div id="content"><p>+ x</p><p>+ y z</p></div></body>""",
     f"""<body><article><p>+ {MIDDLE}</p><p>+ <a>{MIDDLE}</a></p><p>+ last</p></article></body>""",
     f"""<body><article><p>+ {MIDDLE}</p><p>+ few words</p><p>+ last</p></article></body>""",
     f"""<body><nav><a>one two</a></nav><main><p>+ {MIDDLE}</p><p>+ {LONG}</p><p>+ end</p></main></body>""",

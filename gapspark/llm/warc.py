@@ -133,6 +133,8 @@ LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*$", re.I | re.M)
 
 def parse_header(data: bytes, at: int) -> tuple[int, int] | None:
     """Start of the payload and its length, if a whole header stands at a place."""
+    if MAGIC.match(data, at) is None:
+        return None
     end = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
     if end < 0:
         return None
@@ -223,7 +225,7 @@ def entries(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) ->
     entered = found.where("leaves >= 0").select("file", F.col("leaves").alias("start")).distinct()
     starts = manifest.where("size > 0").select("file", F.lit(0).cast("long").alias("start"))
     jumps = stored(found.join(entered.union(starts).distinct(), ["file", "start"]).where("leaves >= 0"), "warc-jumps")
-    reached = stored(starts.join(found.select("file", "start"), ["file", "start"], "left_semi"), "warc-reached")
+    reached = stored(starts, "warc-reached")
     known = reached.count()
     while known:
         onward = reached.join(jumps, ["file", "start"]).select("file", F.col("leaves").alias("start"))
