@@ -106,7 +106,7 @@ DISAGREEMENT_FACTOR = 0.82
 RETRAIN_AT = 20
 REPLAY_FACTOR, REPLAY_MAX = 5, 500
 SPLIT_SEED = 42
-MODEL_FAST, MODEL_DEEP = "tfidf_sgd", "distilbert"
+MODEL_FAST, MODEL_DEEP = "tfidf_logistic", "naive_bayes"
 MODEL_AGREE, MODEL_DISAGREE = "ensemble", "ensemble_disagreement"
 
 # --- aspects and the word parts that point to them (fixed values) -----------

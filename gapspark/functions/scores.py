@@ -58,7 +58,7 @@ def bar_width(value: Column, widest: Column) -> Column:
 def stars_to_type(stars: Column) -> Column:
     """No stars or three and more count as Fresh."""
     missing = stars.isNull() | (stars == "")
-    return F.when(missing | (stars.try_cast("int") >= 3), "Fresh").otherwise("Rotten")
+    return F.when(missing | (stars.try_cast("double") >= 3), "Fresh").otherwise("Rotten")
 
 
 def stars_to_sentiment(stars: Column) -> Column:

@@ -52,11 +52,6 @@ def within_words(c: Column, n: int) -> Column:
     return (F.length(c) < 2 * n) | (F.size(words(c)) <= n)
 
 
-def clip_long(c: Column, n: int | None) -> Column:
-    """``clip_words`` that leaves a text alone which cannot be too long."""
-    return c if n is None else F.when(F.length(c) < 2 * n, c).otherwise(clip_words(c, n))
-
-
 def sentences(c: Column) -> Column:
     return F.split(strip(c), fixed.SENTENCE_BREAK)
 
@@ -77,12 +72,17 @@ def first_quote(c: Column) -> Column:
     return F.get(fits, F.lit(0))
 
 
-def headline_title(headline: Column, strict: bool = False) -> Column:
+def clip_chars(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters; the text itself when ``n`` is None."""
+    return c if n is None else F.left(c, F.lit(n))
+
+
+def headline_title(headline: Column, strict: bool = False, max_chars: int | None = None) -> Column:
     """Film title inside a review headline.
 
     First the "Review: 'Title' is ..." form, then the text before the first of a
-    row of separators found after the third character, else the start of the
-    headline. ``strict`` makes the verbs whole words in any letter case.
+    row of separators found after the third character, else the headline, cut to
+    ``max_chars`` if given. ``strict`` makes the verbs whole words in any letter case.
     """
     lead = f"(?i){fixed.HEADLINE_LEAD}\\b" if strict else fixed.HEADLINE_LEAD
     lowered = F.lower(headline)
@@ -91,7 +91,7 @@ def headline_title(headline: Column, strict: bool = False) -> Column:
         at = F.instr(lowered, separator)
         before = F.left(headline, at - 1)
         title = title.when(at > 3, F.btrim(strip(before), F.lit(fixed.HEADLINE_QUOTES)))
-    title = title.otherwise(strip(F.left(headline, F.lit(fixed.HEADLINE_CHARS))))
+    title = title.otherwise(strip(clip_chars(headline, max_chars)))
     return F.coalesce(title, F.lit(""))
 
 
@@ -106,14 +106,17 @@ def byline_name(byline: Column, default: str) -> Column:
     return F.coalesce(empty_to_null(name), F.lit(default))
 
 
-def content_id(link: Column, critic: Column, day: Column, content: Column) -> Column:
-    """Stable id of a review without one: a digest over its parts."""
+def content_id(
+    link: Column, critic: Column, day: Column, content: Column, prefix: int | None = None
+) -> Column:
+    """Stable id of a review without one: a digest over its parts.
+
+    ``prefix`` takes the first characters of the content only, as older ids did.
+    """
     def part(c: Column) -> Column:
         return F.coalesce(c, F.lit(""))
 
-    raw = F.concat_ws(
-        "|", part(link), part(critic), part(day), F.left(part(content), F.lit(80))
-    )
+    raw = F.concat_ws("|", part(link), part(critic), part(day), clip_chars(part(content), prefix))
     return F.left(F.sha1(raw), F.lit(20))
 
 

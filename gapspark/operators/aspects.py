@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gapspark import fixed
 from gapspark.functions import scores, text
+from gapspark.session import cut_lineage
 
 ASPECTS = tuple(fixed.ASPECT_KEYWORDS)
 
@@ -57,14 +58,17 @@ def _speaking(marked: Column, bit: int) -> Column:
 def aspect_rows(
     reviews: DataFrame,
     content: str = "review_content",
-    max_words: int | None = fixed.ASPECT_WORDS,
+    max_words: int | None = None,
     with_text: bool = True,
+    start_words: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Eight rows per review: aspect, confidence, detected and the text to judge.
 
     Confidence looks at the first ``max_words`` words (None: all), the judged text
-    is the first three speaking sentences of the whole review, or its first words
-    when none speaks; ``with_text`` off leaves it out.
+    is the first three speaking sentences of the whole review, or the review (its
+    first ``start_words`` words) when none speaks, cut to ``max_chars`` characters if
+    given; ``with_text`` off leaves it out.
     """
     body = F.coalesce(content, F.lit(""))
     marked = reviews.withColumn("_sentences", text.long_sentences(body)).withColumn(
@@ -77,7 +81,7 @@ def aspect_rows(
     if with_text:
         marked = marked.withColumn(
             "_start",
-            F.left(text.clip_words(body, fixed.DEEP_WORDS), F.lit(fixed.ASPECT_CHARS)),
+            text.clip_words(body, start_words),
         )
     spoken = {f"_spoken{i}": _speaking(F.col("_marked"), i) for i in range(len(ASPECTS))}
     parted = marked.withColumns(spoken)
@@ -95,7 +99,7 @@ def aspect_rows(
             first = F.slice(own, 1, fixed.ASPECT_SENTENCES)
             said = F.array_join(F.transform(first, lambda m: m["text"]), " ")
             judged = F.when(F.size(own) > 0, said).otherwise(F.col("_start"))
-            fields.append(F.left(judged, F.lit(fixed.ASPECT_CHARS)).alias("judged_text"))
+            fields.append(text.clip_chars(judged, max_chars).alias("judged_text"))
         return F.struct(*fields)
 
     rows = F.array(*(row(i, a) for i, a in enumerate(ASPECTS)))
@@ -108,7 +112,7 @@ def aspect_rows(
 def detected_aspects(
     reviews: DataFrame,
     content: str = "review_content",
-    max_words: int | None = fixed.ASPECT_WORDS,
+    max_words: int | None = None,
 ) -> DataFrame:
     """Aspects a review speaks of with enough confidence."""
     rows = aspect_rows(reviews, content, max_words, with_text=False)
@@ -125,7 +129,7 @@ def overall_sentiment(positive: Column, negative: Column, neutral: Column) -> Co
 
 
 def overall_by(judged: DataFrame, keys: list[str]) -> DataFrame:
-    """Overall sentiment per review from its aspect rows.
+    """Overall sentiment per review from its aspect rows; ``keys`` must name one review.
 
     The rows of one review start in one partition, so they combine to one row
     before the shuffle.
@@ -177,12 +181,15 @@ def review_analysis(
 ) -> DataFrame:
     """One row per review: its eight aspects, overall sentiment and both opinions.
 
-    The opinions are taken before the aspects are laid out, so that only short
-    columns, not the texts, go through the aggregation.
+    The key columns need not be unique or known: a number is given to each review and
+    stored before the aspects are laid out, so that reviews sharing a key, or without
+    one, stay apart and a repeated task finds the same numbers. Only short columns, not
+    the texts, go through the aggregation.
     """
     opinions = models.ensemble(reviews.select(*keys, content), content)
-    opinion = F.struct(*OPINION_COLUMNS)
-    rows = aspect_rows(opinions.select(*keys, content, opinion.alias("_opinion")), content)
+    numbered = opinions.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut_lineage(reviews.sparkSession, numbered)
+    rows = aspect_rows(numbered.select("_row", content), content)
     judged = judge_aspects(rows.drop(content), models).drop("judged_text")
     listed = F.sort_array(
         F.collect_list(
@@ -193,12 +200,7 @@ def review_analysis(
         word: F.count_if(F.col("detected") & (F.col("sentiment") == word))
         for word in ("Positive", "Negative", "Neutral")
     }
-    return (
-        judged.groupBy(*keys)
-        .agg(
-            listed.alias("aspects"),
-            overall_sentiment(*votes.values()).alias("overall"),
-            F.first("_opinion").alias("_opinion"),
-        )
-        .select(*keys, "aspects", "overall", "_opinion.*")
+    found = judged.groupBy("_row").agg(
+        listed.alias("aspects"), overall_sentiment(*votes.values()).alias("overall")
     )
+    return numbered.join(found, "_row").select(*keys, "aspects", "overall", *OPINION_COLUMNS)

@@ -215,14 +215,14 @@ def in_backlog() -> Column:
     )
 
 
-def score_backlog(films: DataFrame, limit: int = fixed.BACKLOG_LIMIT) -> DataFrame:
-    """The newest films of the backlog, as many as one run may ask for."""
-    return (
-        films.where(in_backlog())
-        .select("film_link", "movie_title", "imdb_id", "release_year")
-        .orderBy(F.desc_nulls_last("release_year"), "film_link")
-        .limit(limit)
+def score_backlog(films: DataFrame, limit: int | None = None) -> DataFrame:
+    """The backlog, or the newest ``limit`` films of it where answers are rationed."""
+    waiting = films.where(in_backlog()).select(
+        "film_link", "movie_title", "imdb_id", "release_year"
     )
+    if limit is None:
+        return waiting
+    return waiting.orderBy(F.desc_nulls_last("release_year"), "film_link").limit(limit)
 
 
 def backlog_size(films: DataFrame, per_day: int = fixed.BACKLOG_LIMIT) -> DataFrame:

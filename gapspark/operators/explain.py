@@ -10,7 +10,7 @@ from gapspark.functions import scores, text
 from gapspark.operators import catalog, merge, reviews as review_ops
 
 
-def quote_candidates(reviews: DataFrame, salts: int = 0) -> DataFrame:
+def quote_candidates(reviews: DataFrame, salts: int = merge.SALTS) -> DataFrame:
     """The newest reviews per film and type that a quote may come from.
 
     Twelve per type are enough for every case: the newest ten of a film are each
@@ -36,7 +36,7 @@ def quote_candidates(reviews: DataFrame, salts: int = 0) -> DataFrame:
     )
 
 
-def quotes(films: DataFrame, reviews: DataFrame, salts: int = 0) -> DataFrame:
+def quotes(films: DataFrame, reviews: DataFrame, salts: int = merge.SALTS) -> DataFrame:
     """Up to three quotes per film, the side that explains the gap first.
 
     A film audiences preferred is explained by its rotten reviews, one critics

@@ -88,7 +88,7 @@ def touch_linked(films: DataFrame, linked: DataFrame, added: DataFrame, asof) ->
 
 
 def score_backlog_run(
-    films: DataFrame, answers: DataFrame, asof, limit: int = fixed.DAILY_BACKLOG_LIMIT
+    films: DataFrame, answers: DataFrame, asof, limit: int | None = None
 ) -> DataFrame:
     """Films after asking for the scores of the backlog.
 
@@ -118,7 +118,9 @@ def refresh_active_scores(
     hit = (F.col("review_fetch_active") == 1) & F.col("_critic").isNotNull()
     fills = F.lit(proxy_audience) & hit & F.col("audience_score").isNull()
     fills = fills & F.col("_proxy").isNotNull()
-    joined = films.join(fresh, "imdb_id", "left").withColumns(
+    # films without an id are nobody's match; kept out of the join they do not meet in one task
+    known, unknown = films.where("imdb_id IS NOT NULL"), films.where("imdb_id IS NULL")
+    joined = known.join(fresh, "imdb_id", "left").withColumns(
         {
             "audience_score_source": F.when(fills, fixed.PROXY_SOURCE).otherwise(
                 F.col("audience_score_source")
@@ -134,7 +136,8 @@ def refresh_active_scores(
     new_gap = scores.gap(F.col("critic_score"), F.col("audience_score"), 2)
     merged_gap = F.when(F.col("_hit"), F.coalesce(new_gap, F.col("gap"))).otherwise(F.col("gap"))
     label = F.when(F.col("_hit"), scores.gap_label(merged_gap)).otherwise(F.col("gap_label"))
-    return joined.withColumns({"gap": merged_gap, "gap_label": label}).select(*films.columns)
+    merged = joined.withColumns({"gap": merged_gap, "gap_label": label}).select(*films.columns)
+    return merged.unionByName(unknown)
 
 
 def score_found(
@@ -178,7 +181,7 @@ def daily_update(
     answers: DataFrame,
     articles: DataFrame,
     asof,
-    backlog_limit: int = fixed.DAILY_BACKLOG_LIMIT,
+    backlog_limit: int | None = None,
 ) -> DailyResult:
     """One day's batch: discover, score the backlog, refresh, link articles, close.
 

@@ -17,15 +17,19 @@ UPSERT_COLUMNS = (
 )
 
 
+#: Parts a group is cut in before its rows meet.
+SALTS = 8
+
+
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "place",
-    salts: int = 0,
+    salts: int = SALTS,
 ) -> DataFrame:
     """The first n rows of every group in a total order, with their rank.
 
     The bound on the row number lets Spark cut every map partition to n rows per
     group before the shuffle. What a hot group then sends to its one task grows
-    with the number of map tasks only; ``salts`` bounds that too: the map tasks are
+    with the number of map tasks only; ``salts`` (0: off) bounds that too: the map tasks are
     dealt to that many parts of the group, each cut to n rows of its own first.
     """
     if salts:
@@ -37,7 +41,7 @@ def top_per_group(
 
 
 def first_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], salts: int = 0
+    df: DataFrame, keys: list[str], order: list[Column], salts: int = SALTS
 ) -> DataFrame:
     """The first row of every key in a total order; many copies of a key are cheap."""
     return top_per_group(df, keys, order, 1, "_rank", salts).drop("_rank")

@@ -30,7 +30,7 @@ def film_reviews(films: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def latest_reviews(
-    reviews: DataFrame, n: int = fixed.LATEST_REVIEWS, salts: int = 0
+    reviews: DataFrame, n: int = fixed.LATEST_REVIEWS, salts: int = merge.SALTS
 ) -> DataFrame:
     """The newest n reviews of every film, placed from 1."""
     return merge.top_per_group(reviews, ["film_link"], newest_first(), n, salts=salts)

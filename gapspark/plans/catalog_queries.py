@@ -7,6 +7,8 @@ from gapspark.functions import dates, text
 from gapspark.operators import catalog
 from gapspark.plans.fixtures import ASOF
 from gapspark.plans.registry import query
+from gapspark.session import fresh_path
+from gapspark.sources import tables
 
 FILMS = ("gx_films",)
 
@@ -231,8 +233,7 @@ BACKLOG = """source IN ('backfill', 'tmdb') AND critic_score IS NULL AND imdb_id
 @query(
     "score_backlog",
     FILMS,
-    f"""SELECT film_link, movie_title, imdb_id, release_year FROM gx_films WHERE {BACKLOG}
-    ORDER BY release_year DESC NULLS LAST, film_link LIMIT 200""",
+    f"""SELECT film_link, movie_title, imdb_id, release_year FROM gx_films WHERE {BACKLOG}""",
 )
 def _score_backlog(v):
     return catalog.score_backlog(v.gap_films)
@@ -276,3 +277,49 @@ def _genre_items(v):
         F.size(items).cast("bigint").alias("items"),
         F.get(items, F.lit(0)).alias("first_genre"),
     )
+
+
+@query(
+    "film_by_key",
+    FILMS,
+    "SELECT film_link, movie_title, gap FROM gx_films WHERE film_link = 'm/7'",
+)
+def _film_by_key(v):
+    return catalog.film(v.gap_films, "m/7").select("film_link", "movie_title", "gap")
+
+
+@query("film_scan", FILMS, "SELECT film_link, movie_title, release_date, gap FROM gx_films")
+def _film_scan(v):
+    path = fresh_path(v.spark, "films")
+    tables.write_films(v.gap_films, path)
+    return tables.read_films(v.spark, path).select("film_link", "movie_title", "release_date", "gap")
+
+
+@query(
+    "metrics_sink",
+    FILMS,
+    """SELECT gap_label AS model, 'all' AS split, count(*) AS samples,
+      round_even(count(gap) / CAST(count(*) AS DOUBLE), 4) AS accuracy FROM gx_films GROUP BY gap_label""",
+)
+def _metrics_sink(v):
+    share = F.bround(F.count("gap") / F.count("*").cast("double"), 4)
+    metrics = v.gap_films.groupBy(F.col("gap_label").alias("model")).agg(
+        F.lit("all").alias("split"), F.count("*").alias("samples"), share.alias("accuracy")
+    )
+    path = fresh_path(v.spark, "metrics")
+    tables.write_metrics(metrics, path)
+    return v.spark.read.schema("model string, split string, samples long, accuracy double").json(path)
+
+
+@query(
+    "empty_tables",
+    FILMS,
+    """SELECT 'films' AS name, NOT EXISTS (SELECT 1 FROM gx_films) AS empty
+    UNION ALL SELECT 'unknown', NOT EXISTS (SELECT 1 FROM gx_films WHERE film_link IS NULL)""",
+)
+def _empty_tables(v):
+    films = v.gap_films
+    found = {"films": films, "unknown": films.where("film_link IS NULL")}
+    return v.spark.createDataFrame(
+        [(name, tables.is_empty(df)) for name, df in found.items()], "name string, empty boolean"
+    )

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapspark.operators import catalog
-from gapspark.session import spread
 
 ASOF = "2001-11-10"
 
@@ -96,7 +95,7 @@ SELECT o_orderkey AS article_id,
        'By Critic ' || CAST(o_custkey % 50 AS STRING) AS byline,
        CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'Body of article ' || CAST(o_orderkey AS STRING) END AS body,
        CAST(o_orderdate AS DATE) AS published
-FROM orders JOIN part ON p_partkey = o_orderkey % 200
+FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
 """,
     "fx_scores": """
 SELECT 'tt' || CAST(p_partkey AS STRING) AS imdb_id,
@@ -174,7 +173,7 @@ class Views:
     @cached_property
     def plain_reviews(self) -> DataFrame:
         """Reviews without critic and publisher, from one table over all cores."""
-        lines = spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
+        lines = self.table("lineitem")
         return self._reviews_of(lines)
 
     def _reviews_of(self, lines: DataFrame) -> DataFrame:
@@ -271,7 +270,7 @@ class Views:
             .otherwise("An evening of shorts")
         )
         joined = self.table("orders").join(
-            self.table("part").select("p_partkey", "p_name"), F.col("p_partkey") == key % 200
+            self.table("part").select("p_partkey", "p_name"), F.col("p_partkey") == key % self.table("part").count()
         )
         return joined.select(
             key.alias("article_id"),

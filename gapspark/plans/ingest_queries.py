@@ -12,9 +12,25 @@ from gapspark.operators import link
 from gapspark.plans.fixtures import ASOF
 from gapspark.plans.merge_queries import PAYLOADS, answers
 from gapspark.plans.registry import query
+from gapspark.session import fresh_path
 from gapspark.sources import csv_files, documents
 
 
+def through_csv(v, raw, multiline=False):
+    """The rows as CSV files below the shared folder, read again as the readers do."""
+    path = fresh_path(v.spark, "raw-csv")
+    writer = raw.write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv_files.read_csv(v.spark, path, multiline)
+
+
+def through_json(v, docs, schema):
+    """A column of JSON texts as files of lines, read again under a schema."""
+    path = fresh_path(v.spark, "raw-json")
+    docs.write.text(path)
+    return documents.read_json(v.spark, path, schema)
+
+
 @query(
     "film_csv_ingest",
     ("gx_films",),
@@ -45,7 +61,7 @@ def _film_csv_ingest(v):
         F.coalesce(F.col("critic_score").cast("string"), F.lit("n/a")).alias("tomatometer_rating"),
         F.col("audience_score").cast("string").alias("audience_rating"),
     )
-    return csv_files.clean_films(raw, ASOF, window_days=2000).drop(
+    return csv_files.clean_films(through_csv(v, raw), ASOF, window_days=2000).drop(
         "directors", "critics_consensus"
     )
 
@@ -58,7 +74,7 @@ def _film_csv_ingest(v):
       review_type, review_content, 'kaggle' AS source,
       left(sha1(film_link || '|' || critic_name || '|' ||
         CASE WHEN review_type <> 'n/a' THEN CAST(review_date AS STRING) ELSE 'someday' END || '|' ||
-        left(coalesce(review_content, ''), 80)), 20) AS external_id
+        coalesce(review_content, '')), 20) AS external_id
     FROM fx_reviews""",
 )
 def _review_csv_ingest(v):
@@ -72,7 +88,7 @@ def _review_csv_ingest(v):
         F.lit("").alias("review_score"),
         "review_content",
     )
-    return csv_files.clean_reviews(raw).drop("review_score")
+    return csv_files.clean_reviews(through_csv(v, raw)).drop("review_score")
 
 
 @query(
@@ -86,8 +102,8 @@ def _labelled_corpus(v):
     rated = v.table("documents").join(v.table("labels"), "doc_id")
     mood = F.when(F.col("quality") == 1, " Positive").otherwise("negative ")
     raw = rated.select("doc_id", F.col("text").alias("review"), mood.alias("sentiment"))
-    return csv_files.clean_corpus(raw).select(
-        "doc_id", F.length("text").cast("bigint").alias("chars"), "label"
+    return csv_files.clean_corpus(through_csv(v, raw, multiline=True)).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"), "label"
     )
 
 
@@ -104,7 +120,7 @@ def discovery_docs(v):
             F.col("release_date").cast("string").alias("release_date"),
         )
     )
-    return v.gap_films.select(F.from_json(doc, schemas.DISCOVERY_DOC).alias("d")).select("d.*")
+    return through_json(v, v.gap_films.select(doc.alias("value")), schemas.DISCOVERY_DOC)
 
 
 @query(
@@ -161,7 +177,7 @@ def detail_docs(v):
             F.struct(crew.alias("crew")).alias("credits"),
         )
     )
-    return v.gap_films.select(F.from_json(doc, schemas.DETAIL_DOC).alias("d")).select("d.*")
+    return through_json(v, v.gap_films.select(doc.alias("value")), schemas.DETAIL_DOC)
 
 
 @query(
@@ -171,7 +187,7 @@ def detail_docs(v):
       'Director ' || CAST(film_id % 30 AS STRING) || ', Director ' || CAST(film_id % 7 AS STRING)
         AS directors,
       CAST(film_id % 90 + 60 AS DOUBLE) AS runtime, release_date, release_year,
-      left(repeat(movie_title, 60), 500) AS critics_consensus, film_id AS tmdb_id, imdb_id,
+      repeat(movie_title, 60) AS critics_consensus, film_id AS tmdb_id, imdb_id,
       CASE WHEN film_id % 5 <> 0 THEN 'https://image.tmdb.org/t/p/w500/p' || CAST(film_id AS STRING)
         END AS poster_url,
       'tmdb' AS source, 1 AS review_fetch_active
@@ -231,7 +247,7 @@ titles AS (
       THEN trim(trim(left(headline, strpos(lower(headline), ' - ') - 1)), '''"‘’“”')
     WHEN strpos(lower(headline), ': ') > 3
       THEN trim(trim(left(headline, strpos(lower(headline), ': ') - 1)), '''"‘’“”')
-    ELSE trim(left(headline, 80)) END AS film_title
+    ELSE trim(headline) END AS film_title
   FROM fx_articles)
 """
 
@@ -263,7 +279,7 @@ def docs_with_stars(v):
             fields.alias("fields"),
         )
     )
-    return v.articles.select(F.from_json(doc, schemas.ARTICLE_DOC_A).alias("d")).select("d.*")
+    return through_json(v, v.articles.select(doc.alias("value")), schemas.ARTICLE_DOC_A)
 
 
 @query(
@@ -298,7 +314,7 @@ def docs_plain(v):
             ).alias("byline"),
         )
     )
-    return v.articles.select(F.from_json(doc, schemas.ARTICLE_DOC_B).alias("d")).select("d.*")
+    return through_json(v, v.articles.select(doc.alias("value")), schemas.ARTICLE_DOC_B)
 
 
 @query(

@@ -70,8 +70,7 @@ def backlog_sql(films: str, out: str) -> str:
     """Backlog scoring of table ``films`` as SQL, giving table ``out``."""
     return f"""{out}_asked AS (SELECT film_link, imdb_id FROM {films}
     WHERE source IN ('backfill', 'tmdb') AND critic_score IS NULL AND imdb_id IS NOT NULL
-      AND scores_fetched_on IS NULL
-    ORDER BY release_year DESC NULLS LAST, film_link LIMIT 800),
+      AND scores_fetched_on IS NULL),
   {out}_got AS (SELECT q.film_link, a.critic_score AS c, a.audience_proxy AS p,
       round_even(a.critic_score - a.audience_proxy, 2) AS g,
       a.critic_score IS NOT NULL OR a.audience_proxy IS NOT NULL AS usable

@@ -209,7 +209,7 @@ def _repeated_updates(v):
     "content_id",
     ("fx_reviews",),
     """SELECT film_link, external_id, left(sha1(film_link || '|' || coalesce(critic_name, '') || '|'
-      || coalesce(CAST(review_date AS STRING), '') || '|' || left(coalesce(review_content, ''), 80)),
+      || coalesce(CAST(review_date AS STRING), '') || '|' || coalesce(review_content, '')),
       20) AS content_id FROM fx_reviews""",
 )
 def _content_id(v):

@@ -1,7 +1,5 @@
 """Registered streaming queries: each drains the given files through a stream."""
 
-from functools import wraps
-
 from pyspark.sql import functions as F
 
 from gapspark import session
@@ -28,17 +26,6 @@ class StreamViews(Views):
         )
 
 
-def drained(build):
-    """A query that runs its stream to the end while it is built."""
-
-    @wraps(build)
-    def run(v):
-        with session.local_partitions(v.spark):
-            return build(v)
-
-    return run
-
-
 def review_stream(v):
     return StreamViews(v, "lineitem").plain_reviews.withColumn(
         "ts", stream_ops.event_time(F.col("review_date"))
@@ -50,7 +37,6 @@ def review_stream(v):
     ("fx_reviews",),
     "SELECT DISTINCT source, external_id FROM fx_reviews",
 )
-@drained
 def _stream_dedupe(v):
     once = stream_ops.dedupe(review_stream(v), "ts", "3000 days")
     rows, _ = stream_ops.run_to_table(v.spark, once.select("source", "external_id"), "dedupe")
@@ -73,7 +59,6 @@ LAST = "(SELECT max(review_date) FROM fx_reviews)"
     FROM spans WHERE window_start + INTERVAL 7 DAY <= {LAST} - INTERVAL 1 DAY
     GROUP BY window_start""",
 )
-@drained
 def _stream_windows(v):
     counts = stream_ops.window_counts(review_stream(v), "ts")
     rows, _ = stream_ops.run_to_table(v.spark, counts, "windows")
@@ -102,7 +87,6 @@ runs AS (SELECT film_link, min(review_date) AS session_start,
     ("fx_reviews",),
     SESSIONS + f"SELECT * FROM runs WHERE session_end <= {LAST} - 1",
 )
-@drained
 def _stream_sessions(v):
     with session.setting(v.spark, session.LOCAL_SESSION_MERGE, "true"):
         runs = stream_ops.activity_sessions(review_stream(v), "ts")
@@ -122,7 +106,6 @@ def _stream_sessions(v):
     + """SELECT CAST(article_id AS STRING) AS external_id, film_link FROM linked
     WHERE film_link IS NOT NULL""",
 )
-@drained
 def _stream_link(v):
     articles = StreamViews(v, "orders").articles.select(
         text.headline_title(F.col("headline")).alias("film_title"),
@@ -141,7 +124,6 @@ def _stream_link(v):
     SELECT f.film_link, coalesce(n.last_review, f.reviews_updated_on) AS reviews_updated_on,
       f.movie_title FROM gx_films f LEFT JOIN newest n ON f.film_link = n.film_link""",
 )
-@drained
 def _stream_upsert(v):
     base = session.fresh_path(v.spark, "upsert")
     v.gap_films.select("film_link", "movie_title", "reviews_updated_on").write.parquet(f"{base}/0")
@@ -167,7 +149,6 @@ def _stream_upsert(v):
     SELECT film_link, 'closed', CAST(day + 15 AS DATE) FROM around
     WHERE later - day > 14 OR (later IS NULL AND day + 15 <= {LAST} - 1)""",
 )
-@drained
 def _stream_lifecycle(v):
     with session.setting(v.spark, session.STATE_STORE, lifecycle.STATE_PROVIDER):
         events = lifecycle.window_events(lifecycle.review_days(review_stream(v), "ts"))

@@ -52,8 +52,8 @@ def _aspect_detect(v):
     ("fx_reviews",),
     ASPECTS
     + """SELECT film_link, source, external_id, aspect, confidence > 0.15 AS detected,
-      left(CASE WHEN len(spoken) > 0 THEN array_to_string(spoken[1:3], ' ') ELSE review_content END,
-        512) AS judged_text FROM scored""",
+      CASE WHEN len(spoken) > 0 THEN array_to_string(spoken[1:3], ' ') ELSE review_content END
+        AS judged_text FROM scored""",
 )
 def _aspect_sentences(v):
     rows = aspects.aspect_rows(keyed_reviews(v))
@@ -92,7 +92,7 @@ def _film_aspects(v):
     FROM hits""",
 )
 def _document_aspects(v):
-    documents = session.spread(v.table("documents").select("doc_id", "text"), "doc_id")
+    documents = v.table("documents").select("doc_id", "text")
     rows = aspects.aspect_rows(documents, "text", None, with_text=False)
     return rows.select("doc_id", "aspect", F.round("confidence", 6).alias("confidence"))
 
@@ -166,7 +166,7 @@ def _unscored_reviews(v):
 
 def labelled_documents(v):
     """Documents with their quality label, the larger labelled corpus here."""
-    documents = session.spread(v.table("documents"), "doc_id")
+    documents = v.table("documents")
     return documents.join(v.table("labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").cast("double").alias("label")
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -49,35 +48,15 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
-@contextmanager
-def local_partitions(spark: SparkSession):
-    """On a local master, no more shuffle partitions than cores for a block.
-
-    A stream fixes its number of state partitions when it first starts, and each
-    costs a task per batch; on a cluster the session's own setting stands.
-    """
-    key = "spark.sql.shuffle.partitions"
-    current = int(spark.conf.get(key))
-    if spark.sparkContext.master.startswith("local"):
-        current = min(current, spark.sparkContext.defaultParallelism)
-    with setting(spark, key, str(current)):
-        yield
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master may fall back to a fresh temporary folder: there the
-    driver and the executors are one process.
+    There is no other: entry points, tests and the bench name one too.
     """
     named = spark.conf.get(CHECKPOINT_CONF, "") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="gapspark-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -85,20 +64,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df, *keys: str):
-    """Redistribute a scan that has fewer splits than the session has cores.
-
-    For row-local work that is heavy on CPU, over inputs of a few small files. A
-    scan with enough splits is returned as it is, so large inputs never pay for it.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def cut_lineage(spark: SparkSession, df):
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     folder = shared_dir(spark)

@@ -13,11 +13,11 @@ from gapspark import fixed
 from gapspark.functions import dates, scores, text
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Header CSV with every column as STRING.
 
-    Quoted line breaks need ``multiline``, which makes one file one task; pass
-    False for files known to have none, so that large files are split.
+    Large files are split. Quoted line breaks need ``multiline``, which makes one file
+    one task; convert such a file to Parquet once.
     """
     return (
         spark.read.option("header", True)
@@ -87,13 +87,13 @@ def clean_corpus(raw: DataFrame) -> DataFrame:
     )
 
 
-def load_films(spark: SparkSession, path: str, asof) -> DataFrame:
-    return clean_films(read_csv(spark, path), asof)
+def load_films(spark: SparkSession, path: str, asof, multiline: bool = False) -> DataFrame:
+    return clean_films(read_csv(spark, path, multiline), asof)
 
 
-def load_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return clean_reviews(read_csv(spark, path))
+def load_reviews(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return clean_reviews(read_csv(spark, path, multiline))
 
 
-def load_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return clean_corpus(read_csv(spark, path))
+def load_corpus(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return clean_corpus(read_csv(spark, path, multiline))

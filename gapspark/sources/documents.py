@@ -63,24 +63,28 @@ def genre_ids(genres: Column, ids: Column) -> Column:
     return F.when(F.size(ids) > 0, ids).otherwise(F.transform(genres, lambda g: g["id"]))
 
 
-def genre_names(docs: DataFrame, key: str, ids: str, genre_map: DataFrame) -> DataFrame:
-    """(key, genres): ids replaced by names in order, unknown ids kept as text.
+#: Genres a map may hold: it becomes a literal of the plan.
+MOST_GENRES = 1000
 
-    ``genre_map`` has the columns id and name. It is joined as any other table;
-    being small it is broadcast by its measured size.
+
+def genre_names(ids: Column, genre_map: DataFrame) -> Column:
+    """Names of a list of genre ids, in order; unknown ids are kept as text.
+
+    ``genre_map`` has the columns id and name; it holds some twenty rows and is looked
+    up inside the row.
     """
-    one_id = docs.select(key, F.posexplode(ids).alias("pos", "genre_id"))
-    named = one_id.join(
-        genre_map.select(F.col("id").alias("genre_id"), F.col("name").alias("genre_name")),
-        "genre_id",
-        "left",
-    ).select(
-        key, "pos", F.coalesce("genre_name", F.col("genre_id").cast("string")).alias("genre_name")
-    )
-    in_order = F.sort_array(F.collect_list(F.struct("pos", "genre_name")))
-    return named.groupBy(key).agg(
-        F.array_join(F.transform(in_order, lambda g: g["genre_name"]), ", ").alias("genres")
-    )
+    found = genre_map.where("id IS NOT NULL").limit(MOST_GENRES + 1).collect()
+    if len(found) > MOST_GENRES:
+        raise ValueError("a genre map of more than a thousand rows is no genre map")
+    known = F.create_map(*(F.lit(x) for r in found for x in (int(r["id"]), r["name"]))) if found else None
+
+    def name(i: Column) -> Column:
+        text_of_id = i.cast("string")
+        if known is None:
+            return text_of_id
+        return F.coalesce(F.try_element_at(known, i.cast("int")), text_of_id)
+
+    return F.array_join(F.transform(ids, name), ", ")
 
 
 def film_rows(
@@ -89,6 +93,7 @@ def film_rows(
     source: str = "tmdb",
     genre_map: DataFrame | None = None,
     most_directors: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Film rows from detail documents.
 
@@ -112,7 +117,7 @@ def film_rows(
         released.alias("release_date"),
         year.alias("release_year"),
         text.empty_to_null(
-            F.left("overview", F.lit(fixed.OVERVIEW_CHARS))
+            text.clip_chars(F.col("overview"), max_chars)
         ).alias("critics_consensus"),
         F.col("id").alias("tmdb_id"),
         "imdb_id",
@@ -125,8 +130,8 @@ def film_rows(
         ).alias("review_fetch_active"),
     )
     if genre_map is not None:
-        named = genre_names(rows, "film_link", "_ids", genre_map)
-        rows = rows.drop("genres").join(named, "film_link", "left")
+        named = F.when(F.size("_ids") > 0, genre_names(F.col("_ids"), genre_map))
+        rows = rows.withColumn("genres", named)
     return rows.drop("_ids")
 
 
@@ -160,8 +165,10 @@ OUTLET_A = Outlet("guardian", "The Guardian", "The Guardian")
 OUTLET_B = Outlet("nyt", "New York Times", "NYT")
 
 
-def articles_with_stars(docs: DataFrame, outlet: Outlet = OUTLET_A) -> DataFrame:
-    """Review rows from articles that may carry a star rating."""
+def articles_with_stars(
+    docs: DataFrame, outlet: Outlet = OUTLET_A, max_chars: int | None = None
+) -> DataFrame:
+    """Review rows from articles that may carry a star rating; ``max_chars`` cuts bodies."""
     stars = F.col("fields.starRating")
     content = text.strip(F.coalesce(F.col("fields.bodyText"), F.lit("")))
     critic = F.coalesce(text.empty_to_null(F.col("fields.byline")), F.lit(outlet.default_critic))
@@ -171,14 +178,16 @@ def articles_with_stars(docs: DataFrame, outlet: Outlet = OUTLET_A) -> DataFrame
         headline=F.coalesce(F.col("fields.headline"), F.lit("")),
         critic=text.strip(critic),
         day=F.col("webPublicationDate"),
-        content=content,
+        content=text.clip_chars(content, max_chars),
         review_type=scores.stars_to_type(stars),
         score=text.empty_to_null(stars),
         external_id=F.col("id"),
     )
 
 
-def articles_plain(docs: DataFrame, outlet: Outlet = OUTLET_B) -> DataFrame:
+def articles_plain(
+    docs: DataFrame, outlet: Outlet = OUTLET_B, max_chars: int | None = None
+) -> DataFrame:
     """Review rows from articles without ratings: abstract, else lead paragraph."""
     content = F.coalesce(
         text.empty_to_null(F.col("abstract")), F.col("lead_paragraph"), F.lit("")
@@ -189,7 +198,7 @@ def articles_plain(docs: DataFrame, outlet: Outlet = OUTLET_B) -> DataFrame:
         headline=F.coalesce(F.col("headline.main"), F.lit("")),
         critic=text.byline_name(F.col("byline.original"), outlet.default_critic),
         day=F.col("pub_date"),
-        content=text.strip(content),
+        content=text.clip_chars(text.strip(content), max_chars),
         review_type=F.lit("Fresh"),
         score=F.lit(None).cast("string"),
         external_id=F.col("_id"),
@@ -204,7 +213,7 @@ def _review_rows(
         critic.alias("critic_name"),
         F.lit(outlet.publisher).alias("publisher_name"),
         dates.parse_day(day).alias("review_date"),
-        F.left(content, F.lit(fixed.ARTICLE_CHARS)).alias("review_content"),
+        content.alias("review_content"),
         review_type.alias("review_type"),
         score.alias("review_score"),
         F.coalesce(external_id, F.lit("")).alias("external_id"),

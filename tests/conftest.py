@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def spark():
         "local[8]",
         {
             "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="gapspark-"),
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
         },

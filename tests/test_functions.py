@@ -44,7 +44,7 @@ HEADLINES = [
     ("Alien - the return", "Alien"),
     ("Heat: a city burns", "Heat"),
     ("Review: The island", "The"),
-    ("x" * 79 + " tail", "x" * 79),
+    ("x" * 79 + " tail", "x" * 79 + " tail"),
     ("", ""),
     (None, ""),
 ]
@@ -122,17 +122,18 @@ def test_clip_words(spark):
     assert one(spark, text.clip_words(body, 3)) == "one two three"
     assert one(spark, text.within_words(body, 4)) is True
     assert one(spark, text.within_words(F.lit("a b c d e f g h"), 4)) is False
-    assert one(spark, text.clip_long(F.lit("a b c d e f g h"), 4)) == "a b c d"
+    assert one(spark, text.clip_words(body, None)) == "  one  two\nthree four "
 
 
 def test_content_id_matches_hashlib(spark):
     import hashlib
 
-    raw = "m/1|Ann||" + "é" * 80
-    made = text.content_id(
-        F.lit("m/1"), F.lit("Ann"), F.lit(None).cast("string"), F.lit("é" * 90)
-    )
-    assert one(spark, made) == hashlib.sha1(raw.encode()).hexdigest()[:20]
+    for prefix, kept in ((None, 90), (80, 80)):
+        raw = "m/1|Ann||" + "é" * kept
+        made = text.content_id(
+            F.lit("m/1"), F.lit("Ann"), F.lit(None).cast("string"), F.lit("é" * 90), prefix
+        )
+        assert one(spark, made) == hashlib.sha1(raw.encode()).hexdigest()[:20]
 
 
 def test_byline(spark):

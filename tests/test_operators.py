@@ -426,7 +426,7 @@ def test_film_list_from_csv(spark, tmp_path):
         "m/2, ,,,,not a date,long,n/a,50\n",
         encoding="utf-8",
     )
-    got = {r.film_link: r for r in csv_files.load_films(spark, str(path), TODAY).collect()}
+    got = {r.film_link: r for r in csv_files.load_films(spark, str(path), TODAY, multiline=True).collect()}
     assert set(got) == {"m/1", "m/2"}
     one = got["m/1"]
     assert (one.movie_title, one.critics_consensus) == ('A "quoted" title', "Two\nlines, one cell")
@@ -447,7 +447,7 @@ def test_review_list_from_csv(spark, tmp_path):
         " ,Bob,Post,2020-01-02,Fresh,,Lost.\n",
         encoding="utf-8",
     )
-    got = csv_files.load_reviews(spark, str(path)).collect()
+    got = csv_files.load_reviews(spark, str(path), multiline=True).collect()
     assert len(got) == 2
     empty = next(r for r in got if r.critic_name is None)
     assert (empty.review_content, empty.review_date, len(empty.external_id)) == (None, None, 20)
@@ -456,7 +456,7 @@ def test_review_list_from_csv(spark, tmp_path):
 def test_labelled_corpus_from_csv(spark, tmp_path):
     path = tmp_path / "corpus.csv"
     path.write_text('review,sentiment\n"Fine, really", Positive \nBad,negative\nOdd,\n')
-    got = sorted(values(csv_files.load_corpus(spark, str(path)).select("text", "label")))
+    got = sorted(values(csv_files.load_corpus(spark, str(path), multiline=True).select("text", "label")))
     assert got == [("Bad", 0.0), ("Fine, really", 1.0), ("Odd", 0.0)]
 
 
@@ -481,7 +481,9 @@ def test_documents_from_json(spark, tmp_path):
         + json.dumps({"id": "film/2", "fields": {"bodyText": "  "}}) + "\n"
     )
     docs = documents.read_json(spark, str(path), schemas.ARTICLE_DOC_A)
-    got = documents.articles_with_stars(docs).collect()
+    whole = documents.articles_with_stars(docs).first()
+    assert len(whole.review_content) > 6000
+    got = documents.articles_with_stars(docs, max_chars=6000).collect()
     assert len(got) == 1
     row = got[0]
     assert (row.film_title, row.critic_name, row.review_type) == ("Dune", "The Guardian", "Rotten")
@@ -509,7 +511,7 @@ def test_month_partitions_end_at_the_last_day(spark):
 
 def test_metrics_file(spark, tmp_path):
     path = str(tmp_path / "metrics")
-    made = spark.createDataFrame([("tfidf_sgd", "test", 10, 0.9)], "model string, split string, samples long, accuracy double")
+    made = spark.createDataFrame([("tfidf_logistic", "test", 10, 0.9)], "model string, split string, samples long, accuracy double")
     tables.write_metrics(made, path)
     assert spark.read.json(path).first().accuracy == 0.9
 

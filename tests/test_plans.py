@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gapspark.operators import aspects, catalog, explain, link, merge, reviews, trend
+from gapspark.operators import aspects, catalog, classify, explain, link, merge, reviews, trend
 from gapspark.plans.fixtures import Views
 from gapspark.plans.ingest_queries import review_rows
 from gapspark.plans.registry import load_all
@@ -48,6 +48,12 @@ def test_only_the_needed_columns_are_read(spark, folder, capsys):
     )
 
 
+def test_a_split_shuffles_no_text(spark, folder, capsys):
+    docs = Views(spark, folder).table("documents").selectExpr("doc_id", "text", "n_chars % 2 AS label")
+    shown = plan(classify.stratified_split(docs, "doc_id", "label"), capsys)
+    assert "Exchange" not in shown and "Join" not in shown
+
+
 def test_aspects_need_no_shuffle(spark, folder, capsys):
     raw = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     shown = plan(aspects.aspect_rows(raw, "text"), capsys)

@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -75,6 +76,7 @@ def main() -> int:
     spark = build_session(
         "check", f"local[{os.environ.get('BENCH_CPUS', '8')}]",
         {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="gapspark-"),
          "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
