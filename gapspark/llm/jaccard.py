@@ -8,7 +8,8 @@ subtree when what remains is too short for a link.
 
 Short lists of documents that share an element give pairs. In a long list (many
 near copies) every member is first compared with one of them; only components are asked
-for, so a list whose members are then in one component is done. The other long lists
+for, so a list whose members are then in one component is done. Parity sketches rule out
+most pairs that only share common elements before their sets are fetched. The other long lists
 are compared in full, in blocks of bounded size.
 """
 
@@ -109,24 +110,41 @@ def ordered(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort((top << np.uint64(56)) | (codes >> np.uint64(8)))
 
 
+#: Bits of a set's parity sketch.
+SKETCH = 1024
+
+
+def parity_sketch(keys: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of keys falls on it.
+
+    An element that one of two sets holds alone changes one bit at most, so sketches
+    that differ in d bits prove that at least d elements are not shared.
+    """
+    mixed_keys = mixed(keys)
+    odd = np.bincount((mixed_keys % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(df: DataFrame, classes: np.ndarray, n: int, t: int) -> DataFrame:
-    """id, size, digest (of the whole set), prefix (keys as signed numbers)."""
+    """id, size, digest (of the whole set), prefix (keys as signed numbers), sketch."""
     shared = df.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 keys = ordered(shingles(text, n), shared.value)
                 sizes.append(len(keys))
+                sketches.append(parity_sketch(keys))
                 digests.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
                 prefixes.append(keys[: prefix_size(len(keys), t)].view(np.int64) if len(keys) else keys.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "size", "digest", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "size", "digest", "prefix", "sketch"],
             )
 
-    schema = StructType([*df.select("id").schema.fields, *StructType.fromDDL("size long, digest binary, prefix array<long>").fields])
+    schema = StructType([*df.select("id").schema.fields, *StructType.fromDDL("size long, digest binary, prefix array<long>, sketch array<long>").fields])
     return df.select("id", "text").mapInArrow(run, schema)
 
 
@@ -327,28 +345,26 @@ def jaccard_groups(
     owners = stored(held.groupBy("size", "digest").agg(F.min("id").alias("rep")), "jaccard-classes")
     # a repeated key may represent several classes; a class is named by (rep, size, digest)
     chosen = held.join(owners.withColumnRenamed("rep", "id"), ["size", "digest", "id"], "left_semi")
-    chosen = stored(chosen.dropDuplicates(["size", "digest", "id"]).select("id", "size", "prefix"), "jaccard-prefixes")
+    chosen = stored(chosen.dropDuplicates(["size", "digest", "id"]).select("id", "size", "prefix", "sketch"), "jaccard-prefixes")
     entries = chosen.select("id", "size", F.posexplode("prefix").alias("at", "token"))
-    seen = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.min("id").alias("lo"), F.max("id").alias("hi")
-    )
-    lists = entries.join(seen.where("lo <> hi").select("token", "n", "least"), "token")
+    seen = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
+    lists = entries.join(seen.where("n > 1"), "token")
     # a linked pair meets in the list of the first element both hold; a member needs room
     # there for a partner of the list's least size, and of at least percent of its own
     partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / 100))
     roomy = F.col("size") - F.col("at") >= need(F.col("size"), partner, percent)
     lists = stored(lists.where(roomy).select("token", "id", "size", "at", "n"), "jaccard-lists")
-    pairs = stored(
-        short_pairs(lists.where(F.col("n") <= small), percent).union(pivot_pairs(lists.where(F.col("n") > small))).distinct(),
-        "jaccard-pairs",
-    )
-    candidates = stored(pairs.select("id").union(pairs.select(F.col("pivot").alias("id"))).distinct(), "jaccard-candidates")
+    short, long_ = lists.where(F.col("n") <= small), lists.where(F.col("n") > small)
+    close = near(short_pairs(short, percent).distinct(), chosen, percent)
+    pairs = stored(close.union(near(pivot_pairs(long_).distinct(), chosen, percent)).distinct(), "jaccard-pairs")
+    in_long = long_.select("id")
+    candidates = stored(pairs.select("id").union(pairs.select(F.col("pivot").alias("id"))).union(in_long).distinct(), "jaccard-candidates")
     sets = stored(sets_of(docs.join(candidates, "id", "left_semi"), classes, n), "jaccard-sets")
     labels = candidates.select("id", F.col("id").alias("component"))
     links = stored(run_tasks(tasks_of_pairs(pairs, block), sets, labels, percent), "jaccard-links")
     labels = connected(candidates, links)
     # long lists whose members are still in several components are compared in full
-    left = stored(open_lists(lists.where(F.col("n") > small).join(labels, "id")), "jaccard-open")
+    left = stored(open_lists(long_.join(labels, "id")), "jaccard-open")
     if left.head(1):
         links = stored(run_tasks(blocks_of_tasks(left, block), sets, labels, percent), "jaccard-links")
         labels = connected(candidates, links, labels)
@@ -361,6 +377,21 @@ def jaccard_groups(
     )
 
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (id, pivot) pairs that sizes and parity sketches do not rule out.
+
+    A link allows (100 - percent) / (100 + percent) of both sizes as elements of one set
+    alone. Of an id with several sets any may link.
+    """
+    a = sets.select("id", F.col("size").alias("sa"), F.col("sketch").alias("ka"))
+    b = sets.select(F.col("id").alias("pivot"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
+    differ = F.aggregate(
+        F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits
+    )
+    allowed = F.col("sa") + F.col("sb") - 2 * need(F.col("sa"), F.col("sb"), percent)
+    return pairs.join(a, "id").join(b, "pivot").where(differ <= allowed).select("id", "pivot").distinct()
+
+
 def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(id, pivot) pairs that may link, of lists of a bounded number of members."""
     a = lists.select("token", F.col("id").alias("pivot"), F.col("size").alias("sa"), F.col("at").alias("pa"))
