@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 @pytest.fixture
 def odd(spark):
     """Documents with nulls, an empty and a very long text, repeated rows and extra columns."""
-    words = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+    words = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
     rows = [
         (1, "one two three four five", "en", "a", 23, "x"), (1, "one two three four five", "en", "a", 23, "y"),
         (2, None, None, None, None, None), (None, "one two three four five six", "en", None, 27, "z"), (3, "", "de", "b", 0, ""),
