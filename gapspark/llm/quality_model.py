@@ -23,7 +23,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 WORDS = re.compile(r"[^ \t-\r]+").findall
 BUCKETS = 1 << 18
 #: Labelled rows a fit uses at most: the first by a hash of the key.
-MAX_FIT = 12_000
+MAX_FIT = 10_000
 MEMO_SIZE = 300_000
 EDGES = ".,;:!?\"'()[]"
 
@@ -84,17 +84,23 @@ def screen(rows: list[tuple[np.ndarray, int]], above: np.ndarray, least_rows: in
     tail = np.concatenate([[1.0], above, [0.0]])
     slope = tail * (1 - tail)
     of_grade = (slope[:-1] - slope[1:]) / np.maximum(tail[:-1] - tail[1:], 1e-12)
-    flat = np.concatenate([b for b, _ in rows])
-    value = np.repeat([of_grade[g] for _, g in rows], [len(b) for b, _ in rows])
-    n = np.bincount(flat, minlength=BUCKETS)
-    total = np.bincount(flat, value, minlength=BUCKETS)
-    z = -total / np.sqrt(np.bincount(flat, value * value, minlength=BUCKETS) + 1e-12)
+    n, total, square, marks = (np.zeros(BUCKETS) for _ in range(4))
+    # features of just the same rows (a word and its beginnings) count once
+    mark = np.random.default_rng(3).random(len(rows))
+    for at in range(0, len(rows), 500):
+        part = rows[at : at + 500]
+        sizes = [len(b) for b, _ in part]
+        flat = np.concatenate([b for b, _ in part])
+        value = np.repeat([of_grade[g] for _, g in part], sizes)
+        n += np.bincount(flat, minlength=BUCKETS)
+        total += np.bincount(flat, value, minlength=BUCKETS)
+        square += np.bincount(flat, value * value, minlength=BUCKETS)
+        marks += np.bincount(flat, np.repeat(mark[at : at + 500], sizes), minlength=BUCKETS)
+    z = -total / np.sqrt(square + 1e-12)
     z[n < least_rows] = 0
     best = np.argsort(-z, kind="stable")
     best = best[z[best] >= least_z]
-    # features of just the same rows (a word and its beginnings) count once
-    mark = np.repeat(np.random.default_rng(3).random(len(rows)), [len(b) for b, _ in rows])
-    marks = np.bincount(flat, mark, minlength=BUCKETS)[best]
+    marks = np.round(marks[best], 9)
     _, first = np.unique(marks, return_index=True)
     return np.sort(best[np.sort(first)][:most])
 
@@ -148,7 +154,11 @@ def fit(
         _, da, db, haa, hbb, hab = likelihood(x @ value[:k], value[k:], grade)
         slope = np.concatenate([x.T @ (da + db) - l2 * value[:k], -(holds_a.T @ da + holds_b.T @ db)])
         curve = np.empty((k + t, k + t))
-        curve[:k, :k] = x.T @ (x * (haa + hbb + 2 * hab)[:, None].astype(np.float32))
+        curve[:k, :k] = 0
+        own = (haa + hbb + 2 * hab).astype(np.float32)[:, None]
+        for at in range(0, len(rows), 1000):
+            part = x[at : at + 1000]
+            curve[:k, :k] += part.T @ (part * own[at : at + 1000])
         cross = -(x.T @ (holds_a * (haa + hab)[:, None] + holds_b * (hbb + hab)[:, None]))
         curve[:k, k:], curve[k:, :k] = cross, cross.T
         mixed = holds_a.T @ (holds_b * hab[:, None])
@@ -195,8 +205,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, text: str = "text",
 
     hashed = texts.select(F.col("grade").cast("int").alias("grade"), "__text")
     found = hashed.mapInArrow(run, "grade int, buckets array<int>").orderBy(F.xxhash64("grade", "buckets")).limit(max_fit)
-    table = found.toArrow()
-    rows_ = [(np.asarray(b, dtype=np.int32), g) for g, b in zip(table["grade"].to_pylist(), table["buckets"].to_numpy(), strict=True)]
+    rows_ = []
+    for batch in found.toArrow().to_batches(1000):
+        grades_of, buckets = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        rows_ += [(np.array(b, dtype=np.int32), g) for g, b in zip(grades_of, buckets, strict=True)]
     return fit(rows_, grades, **options)
 
 
