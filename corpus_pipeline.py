@@ -40,18 +40,23 @@ def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 3, percent: int = 90) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of rows with
     that id and set, one. Documents without text or id are nobody's copy."""
     rows = numbered(docs)
     order = F.struct(F.col("doc_id"), F.col(ROW))
-    groups = jaccard.jaccard_groups(rows, n=3, percent=90, key=ROW).withColumnRenamed("component_id", "group")
+    groups = jaccard.jaccard_groups(rows, n=n, percent=percent, key=ROW).withColumnRenamed("component_id", "group")
     tied = groups.where("n_shingles > 0").join(rows.where("doc_id IS NOT NULL").select(ROW, "doc_id"), ROW)
     first = tied.groupBy("group").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     others = stored(tied.select(ROW).join(first, ROW, "left_anti"), "pipeline-copies")
     return rows.join(others, ROW, "left_anti").select(docs.columns)
 
 
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near duplicates as the pipeline links them: five words, a similarity of 0.8 or more."""
+    return near_duplicates_stage(spark, docs, sf_dir, n=5, percent=80)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -65,7 +70,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_rules_stage),
     ("quality classifier", quality_model_stage),
-    ("n-gram Jaccard join", near_duplicates_stage),
+    ("n-gram Jaccard join", near_copies_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]

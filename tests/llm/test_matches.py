@@ -176,3 +176,13 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none, folder):
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 4, 5]
     assert set(left.columns) == set(odd.columns)
     assert left.agg(F.count("*")).first()[0] == 6
+
+
+def test_pipeline_links_five_words_at_80_percent(spark, folder):
+    import corpus_pipeline as p
+
+    docs = table(spark, folder, "documents")
+    groups = brute_groups({r.doc_id: r.text for r in docs.collect()}, 80, 5)
+    left = {r.doc_id for r in dict(p.STAGES)["n-gram Jaccard join"](spark, docs, folder).collect()}
+    assert left == {k for k, (n, low) in groups.items() if k == low or not n}
+    assert len(left) == 187  # 189 at three words and 0.9
