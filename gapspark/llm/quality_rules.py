@@ -3,7 +3,8 @@
 Every document gives a vector of transformed statistics. For each cell (language and
 source; the language or all documents where a cell has too few rows) the minimum
 covariance determinant estimate is found by concentration steps: centre and scatter
-of the share ``H`` of rows that lie nearest to the last estimate. A document whose
+of the half of the rows (the greatest breakdown) that lie nearest to the last estimate,
+so junk copies may hold nearly half of a cell. A document whose
 squared Mahalanobis distance is beyond the cut is rejected.
 """
 
@@ -30,7 +31,6 @@ FEATURES = {
     "punctuation": 0.06, "variety": 0.04,
 }
 P = len(FEATURES)
-H = 0.75
 #: Rows a cell needs for an estimate of its own.
 LEAST_ROWS = 40 * P
 STEPS = 8
@@ -154,6 +154,11 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 FLOOR = np.diag(np.square(list(FEATURES.values())))
 
 
+def nearest(total: int) -> int:
+    """Rows of a cell that an estimate takes: the share of the greatest breakdown."""
+    return min(total, (total + P + 1) // 2)
+
+
 def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """One concentration step: a new estimate per cell.
 
@@ -169,13 +174,14 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("class")
-        total = group["n"].sum()
-        inside = group["n"].cumsum().to_numpy() - group["n"].to_numpy() < H * total
-        near = group[inside]
-        n = float(near["n"].sum())
-        mean = near[[f"s{i}" for i in range(P)]].sum().to_numpy() / n
+        total = int(group["n"].sum())
+        n = float(nearest(total))
+        count = group["n"].to_numpy(dtype=float)
+        # the class that crosses the share counts with the part that is still missing
+        part = np.clip(n - (count.cumsum() - count), 0, count) / count
+        mean = part @ group[[f"s{i}" for i in range(P)]].to_numpy() / n
         second = np.zeros((P, P))
-        for (i, j), value in zip(PAIRS, near[[f"q{i}_{j}" for i, j in PAIRS]].sum(), strict=True):
+        for (i, j), value in zip(PAIRS, part @ group[[f"q{i}_{j}" for i, j in PAIRS]].to_numpy(), strict=True):
             second[i, j] = second[j, i] = value / n
         share = n / total
         cut = chi_square_upper(1 - share, P) if share < 1 else None
@@ -195,11 +201,14 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 def first_estimates(rows: DataFrame) -> DataFrame:
     """Medians, and the floors and median deviations as scatter without correlation."""
-    middle = rows.groupBy("cell").agg(
+    middle = stored(rows.groupBy("cell").agg(
         F.array(*[F.percentile_approx(F.col("vector")[i], 0.5, 10000) for i in range(P)]).alias("centre"),
-        F.array(*[F.percentile_approx(F.col("vector")[i], [0.25, 0.75], 10000) for i in range(P)]).alias("quarters"),
+    ), "mcd-medians")
+    off = [F.abs(F.col("vector")[i] - F.col("centre")[i]) for i in range(P)]
+    middle = rows.join(middle, "cell").groupBy("cell", "centre").agg(
+        F.array(*[F.percentile_approx(d, 0.5, 10000) for d in off]).alias("off")
     )
-    spread = [(F.col("quarters")[i][1] - F.col("quarters")[i][0]) / 1.349 for i in range(P)]
+    spread = [F.col("off")[i] * 1.4826 for i in range(P)]
     inverse = [
         1 / (spread[i] * spread[i] + F.lit(float(FLOOR[i, i]))) if i == j else F.lit(0.0)
         for i in range(P) for j in range(P)

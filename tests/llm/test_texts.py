@@ -92,6 +92,21 @@ def test_distances_match_a_plain_estimate(spark):
     assert np.corrcoef(np.log(plain), np.log(d2))[0, 1] > 0.95
 
 
+def test_a_third_of_equal_junk_is_rejected(spark):
+    random = np.random.default_rng(6)
+    vocabulary = [f"{'abcdefghij'[i % 10] * (i % 7 + 2)}{i}" for i in range(400)]
+    rows = []
+    for i in range(400):
+        words = random.choice(vocabulary, int(random.integers(60, 200)))
+        rows.append((i, " ".join(w + "." if k % 8 == 7 else w for k, w in enumerate(words)), "en", "s"))
+    junk = " ".join(f"{w.upper()}!!" for w in random.choice(vocabulary, 90))
+    rows += [(400 + i, junk, "en", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == set(range(400))
+
+
 def test_rules_on_odd_rows(odd, none):
     got = quality_rules.quality_rules(odd).collect()
     assert len(got) == 8 and {r.kept for r in got if r.base_failed} == {False}
