@@ -9,6 +9,8 @@ forms, or elements whose class, id or role names furniture), a heading.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 BLOCK_TAGS = frozenset(
@@ -28,21 +30,40 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
                 "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role names that mark furniture.
 FURNITURE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|consent|cookies?|gdpr|"
+    r"ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|consent|cookies?|gdpr|"
     r"disclaimer|footer|foot|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|alert|pagination|pager|popup|modal|"
     r"promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|"
-    r"subscription|teaser|toolbar|topbar|widget|login|signup|search|contentinfo|complementary|form|feedback|reviews?)(?:$|[^a-z])"
+    r"subscription|teaser|toolbar|topbar|widget|login|signup|search|contentinfo|complementary|form|feedback"
 )
+#: Words that a furniture name may hold besides; with any other word (has-sidebar,
+#: page-with-header, search-results) a name says nothing.
+PLAIN_WORDS = re.compile(
+    r"area|articles?|author|badge|bar|blocks?|blog|body|bottom|box|btn|buttons?|card|cell|col|column|container|content|desktop|entry|"
+    r"global|group|holder|icons?|inner|input|items?|left|links?|lists?|main|message|meta|mobile|outer|page|panel|policy|posts?|primary|"
+    r"right|rail|row|secondary|section|site|slot|stories|story|text|thread|title|tools|top|unit|user|wrap|wrapper|zone|\d+"
+)
+#: Furniture of many items: an article in it is one of them, not the page's.
+ITEM_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|disqus|recommend\w*|related|replies|reply|respond|sponsor\w*|teaser|promo\w*|ads?|advert\w*)(?:$|[^a-z])")
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[^a-z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def of_attributes(tag: str, text: str) -> tuple[bool, bool, bool]:
-    """Furniture, content, hidden, as the attributes of a tag say."""
+@lru_cache(maxsize=100_000)
+def names_furniture(name: str) -> bool:
+    """Whether one whole class, id or role says furniture: all its words do, or are plain,
+    and it is not the name of a kind of page (search-page)."""
+    # block__element--modifier: the element is named
+    words = [w for w in re.split(r"[^a-z0-9]+", name.split("--")[0].rsplit("__", 1)[-1]) if w]
+    marks = [bool(FURNITURE_WORDS.fullmatch(w)) for w in words]
+    return any(marks) and words[-1] != "page" and all(m or PLAIN_WORDS.fullmatch(w) for m, w in zip(marks, words, strict=True))
+
+
+def of_attributes(tag: str, text: str) -> tuple[int, bool, bool]:
+    """Furniture (2: of many items), content, hidden, as the attributes of a tag say."""
     if not text or "=" not in text and "hidden" not in text.lower():
-        return False, False, False
+        return 0, False, False
     names, hidden = [], False
     for m in ATTRIBUTE.finditer(text):
         key, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
@@ -53,7 +74,9 @@ def of_attributes(tag: str, text: str) -> tuple[bool, bool, bool]:
         else:
             names.append(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower())
     joined = " ".join(names)
-    return bool(FURNITURE_WORDS.search(joined)), bool(CONTENT_WORDS.search(joined)), hidden
+    marked = [name for name in joined.split() if names_furniture(name)]
+    furniture = 2 if any(map(ITEM_WORDS.search, marked)) else int(bool(marked))
+    return furniture, bool(CONTENT_WORDS.search(joined)), hidden
 
 
 class Block:
@@ -69,11 +92,16 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    # open elements: tag, furniture, content, hidden, article
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    # of the innermost element: inherited furniture, content, hidden, article, heading, in a link
-    state = (False, False, False, False)
-    link = 0
+    # open elements: tag, and the state they give
+    stack: list[tuple] = []
+    # of the innermost element: inherited furniture, content, hidden, article, furniture by
+    # a name, number of the form, number of the article that a name's furniture holds
+    outside = (False, False, False, False, 0, 0, 0)
+    state = outside
+    link = forms = holders = 0
+    #: By block: what the page as a whole decides.
+    open_points: list[tuple[int, int]] = []
+    page_forms: set[int] = set()
 
     def close_block() -> None:
         if parts:
@@ -81,7 +109,8 @@ def blocks_of(html: str) -> list[Block]:
             if text:
                 links = len(unescape("".join(link_parts)).split()) if link_parts else 0
                 heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
-                out.append(Block(text, len(text.split()), links, state[3], state[1], state[0], heading))
+                out.append(Block(text, len(text.split()), links, state[3], state[1], state[0] or state[4] > 0, heading))
+                open_points.append(state[5:])
             parts.clear()
             link_parts.clear()
 
@@ -117,7 +146,7 @@ def blocks_of(html: str) -> list[Block]:
                 if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
                     break
             link = sum(s[0] == "a" for s in stack)
-            state = stack[-1][1:] if stack else (False, False, False, False)
+            state = stack[-1][1:] if stack else outside
             continue
         if tag == "br":
             add(" ")
@@ -133,16 +162,30 @@ def blocks_of(html: str) -> list[Block]:
                     if stack[i][0] in BLOCK_TAGS:
                         break
                 link = sum(s[0] == "a" for s in stack)
-                state = stack[-1][1:] if stack else (False, False, False, False)
+                state = stack[-1][1:] if stack else outside
         if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS and tag != "a":
             continue
         furniture, content, hidden = of_attributes(tag, m[3])
         article = state[3] or tag == "article"
         header = tag == "header" and not state[3]
+        named, form, holder = state[4:]
+        if tag in ("main", "article") and not furniture and not state[3]:
+            # the page's matter, whatever the elements around it are called
+            if named < 2 or tag == "main":
+                page_forms.add(form)
+                if named and tag == "article":
+                    holders += 1
+                    holder = holders
+                named = 0
+        # a page's outermost elements are the page, whatever they are called
+        elif tag not in ("body", "html", "article", "main"):
+            named = max(named, furniture)
+        if tag == "form" and not form:
+            forms += 1
+            form = forms
         state = (
-            # a page's outermost elements are the page, whatever they are called
-            state[0] or tag in FURNITURE_TAGS or header or furniture and tag not in ("body", "html", "article", "main"),
-            state[1] or content or tag == "main", state[2] or hidden or tag in HIDDEN_TAGS, article,
+            state[0] or tag in FURNITURE_TAGS and tag != "form" or header,
+            state[1] or content or tag == "main", state[2] or hidden or tag in HIDDEN_TAGS, article, named, form, holder,
         )
         stack.append((tag, *state))
         link += tag == "a"
@@ -151,11 +194,26 @@ def blocks_of(html: str) -> list[Block]:
             close_block() if tag == "title" else None
             at = end.end() if end else size
             stack.pop()
-            state = stack[-1][1:] if stack else (False, False, False, False)
+            state = stack[-1][1:] if stack else outside
     close_block()
+    settle(out, open_points, page_forms)
     return out
 
 
+def settle(blocks: list[Block], points: list[tuple[int, int]], page_forms: set[int]) -> None:
+    """Forms are furniture unless they are the page: hold its article, or half of its words.
+    An article inside furniture by name is the page's when none outside is longer."""
+    in_form, in_holder, outside = Counter(), Counter(), 0
+    for b, (form, holder) in zip(blocks, points, strict=True):
+        in_form[form] += b.words
+        in_holder[holder] += b.words
+        outside += b.words if b.article and not b.furniture and not holder else 0
+    total = sum(b.words for b in blocks)
+    for b, (form, holder) in zip(blocks, points, strict=True):
+        b.furniture |= bool(form) and form not in page_forms and 2 * in_form[form] < total
+        b.furniture |= bool(holder) and in_holder[holder] < outside
+
+
 NAMES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
     "article", "furniture", "content", "heading", "page_has_article",

@@ -53,6 +53,9 @@ PAGES = (
     f"""<body><article><p>+ {MIDDLE}</p><p>+ few words</p><p>+ last</p></article></body>""",
     f"""<body><nav><a>one two</a></nav><main><p>+ {MIDDLE}</p><p>+ {LONG}</p><p>+ end</p></main></body>""",
     f"""<body><article><div class="promo">{LONG}</div><p>+ {LONG}</p><nav><a>{MIDDLE}</a></nav><p>+ y</p></article><p>{LONG}</p></body>""",
+    f"""<body><div class="layout has-sidebar"><nav><a>one</a></nav><article><p>+ {LONG}</p><p>+ end</p></article>
+    <div class="sidebar">{LONG}</div></div></body>""",
+    f"""<body><form><div class="header"><a>one</a></div><div class="side"><main><p>+ {MIDDLE}</p><p>+ {LONG}</p><p>+ end</p></main></div></form></body>""",
 )
 
 

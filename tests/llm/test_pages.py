@@ -24,6 +24,33 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+WRAPPERS = [
+    "<div class='layout has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='page-with-header'>{}</div>",
+    "<div id='search-results'>{}</div>", "<div class='review'>{}</div>", "<div class='reviews'>{}</div>", "<form id='page'>{}</form>",
+]
+
+
+@pytest.mark.parametrize("wrapper", [*WRAPPERS, "<div class='side'>{}</div>", "<div class='header'>{}</div>"])
+def test_wrappers_keep_the_article(wrapper):
+    text = " ".join(f"w{i}" for i in range(30))
+    for tag in ("article", "main"):
+        page = f"<{tag}><p>{text}</p><p>more</p><div class='cookie-notice'>we use</div></{tag}><div class='site-footer'>rights</div>"
+        assert html_extract.main_text(f"<body>{wrapper.format(page)}</body>") == f"{text}\n\nmore"
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_keep_plain_paragraphs(wrapper):
+    text = " ".join(f"w{i}" for i in range(40))
+    assert html_extract.main_text(f"<body>{wrapper.format(f'<p>{text}</p><p>{text}</p>')}</body>") == f"{text}\n\n{text}"
+
+
+def test_items_in_furniture_are_no_articles():
+    text = " ".join(f"w{i}" for i in range(30))
+    for name in ("comments", "related", "sidebar"):
+        page = f"<body><article><p>{text}</p></article><div class='{name}'><article><p>{text[:60]}</p></article></div></body>"
+        assert html_extract.main_text(page) == text
+
+
 def test_the_tree_knows_its_labels():
     x, y = html_extract.labelled_table()
     assert all((html_extract.judge(html_extract.tree(), r) >= 0.5) == label for r, label in zip(x.tolist(), y, strict=True))
