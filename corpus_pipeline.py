@@ -42,11 +42,11 @@ def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 3, percent: int = 90) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of rows with
-    that id and set, one. Documents without text or id are nobody's copy."""
+    that id and set, one; rows without id come last. Documents without text are nobody's copy."""
     rows = numbered(docs)
-    order = F.struct(F.col("doc_id"), F.col(ROW))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))
     groups = jaccard.jaccard_groups(rows, n=n, percent=percent, key=ROW).withColumnRenamed("component_id", "group")
-    tied = groups.where("n_shingles > 0").join(rows.where("doc_id IS NOT NULL").select(ROW, "doc_id"), ROW)
+    tied = groups.where("n_shingles > 0").join(rows.select(ROW, "doc_id"), ROW)
     first = tied.groupBy("group").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     others = stored(tied.select(ROW).join(first, ROW, "left_anti"), "pipeline-copies")
     return rows.join(others, ROW, "left_anti").select(docs.columns)

@@ -186,3 +186,12 @@ def test_pipeline_links_five_words_at_80_percent(spark, folder):
     left = {r.doc_id for r in dict(p.STAGES)["n-gram Jaccard join"](spark, docs, folder).collect()}
     assert left == {k for k, (n, low) in groups.items() if k == low or not n}
     assert len(left) == 187  # 189 at three words and 0.9
+
+
+def test_of_copies_without_id_one_stays(spark, folder):
+    import corpus_pipeline as p
+
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (7, "h i j k l m n"), (None, "h i j k l m n"), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = p.near_copies_stage(spark, docs, folder).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, ""), (0, ""), (0, "a b c d e f g"), (7, "h i j k l m n")]
