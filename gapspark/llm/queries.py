@@ -8,7 +8,10 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gapspark.llm import decontaminate, html_extract, jaccard, license_scan, packing, quality_model, quality_rules, token_counts, token_files, warc
+from gapspark.llm import (
+    chat_format, decontaminate, html_extract, jaccard, license_scan, packing, phrases, quality_model, quality_rules,
+    ranked_search, token_counts, token_files, warc,
+)
 from gapspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +63,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, BYTE_BPE, public_tokenizers.PATTERN, limit=1024)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_trial(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_log(chat_format.turn_events(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_license_scan": op1_license_scan,
@@ -72,9 +88,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op6_token_files": op6_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_chat_format": op13_chat_format,
 }
 
 SQL: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op9_warc": warc.oracle(),
+    "op11_collocations": phrases.oracle(),
+    "op12_ranked_search": ranked_search.oracle(),
+    "op13_chat_format": chat_format.oracle(),
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
