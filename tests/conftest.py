@@ -33,8 +33,3 @@ def spark():
 @pytest.fixture(scope="session")
 def folder():
     return SMALL
-
-
-def values(df):
-    """Rows of a small frame as tuples."""
-    return [tuple(r) for r in df.collect()]
