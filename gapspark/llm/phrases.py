@@ -353,9 +353,9 @@ def collocations(
     candidates = found.where("k > 1").select("lang", "phrase", F.col("f").alias("a"))
     scored = cuts(independent(candidates, share), found)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    first = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     totals = found.where("k = 0").select("lang", F.col("f").alias("n"))
-    return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def oracle(least: int = 10, share: int = 50, most: int = 2000) -> str:
