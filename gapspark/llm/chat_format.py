@@ -3,14 +3,15 @@
 A log row is (conv_id, seq, kind, message, role, text). ``message`` orders the messages of
 a conversation, ``seq`` the events; both may be of any type that sorts. Kinds:
 
-- ``message`` opens a message, with its role and the text known so far (maybe none);
+- ``message`` opens a message with its role and the text known so far (maybe none); for a
+  message that is already there it names the role anew and adds its text;
 - ``delta`` appends text to it, as a model streams it;
 - ``edit`` replaces its text; the messages behind it, opened before, go;
 - ``regenerate`` empties it in favour of the deltas that follow; those behind it go too.
 
 The fold never holds a conversation: which events still count follows from the numbers of
-the events alone (the last event that reset a message, and the last one that cut the
-conversation before it). Texts then move once, partitioned by conversation and sorted, and
+the events alone (the last edit or regeneration of a message, and the last one of the messages
+before it). Texts then move once, partitioned by conversation and sorted, and
 are joined and rendered as they stream by. A conversation is one ordered stream, because
 its digest is; a task holds one message of it at a time, the sort spills.
 """
@@ -29,7 +30,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Code points a log event carries of a stored turn.
 PIECE = 1000
-RESETS, CUTS = ("message", "edit", "regenerate"), ("edit", "regenerate")
+RESETS = ("edit", "regenerate")
 LOG = ("conv_id", "seq", "kind", "message", "role", "text")
 #: Parts that a conversation's message numbers are cut in for the running maximum.
 PARTS = 32
@@ -110,24 +111,26 @@ def _earlier_cuts(messages: DataFrame) -> DataFrame:
 def living_events(events: DataFrame) -> DataFrame:
     """The events whose text is still part of the conversation, in no order.
 
-    An event counts when no later event reset its message and no later event cut the
-    conversation at an earlier one. Only conversations with an edit or a regeneration are
-    looked into, and of those only numbers, no texts.
+    An event counts when no later event edits or regenerates its message or an earlier one. Only conversations with an edit or a regeneration are
+    looked into, and of those only numbers and roles, no texts; there an event carries the
+    newest role of its message, as the event that gave it may be gone. What is found is
+    stored, so that a small table of it is known to be small before the texts are read.
     """
-    numbers = events.select("conv_id", "seq", "kind", "message")
-    cut = numbers.where(F.col("kind").isin(*CUTS)).select(F.col("conv_id").alias("c")).distinct()
-    touched = numbers.join(cut, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    kind = F.col("kind")
+    from gapspark.llm.common import stored
+
+    numbers = events.select("conv_id", "seq", "kind", "message", "role")
+    cut = numbers.where(F.col("kind").isin(*RESETS)).select(F.col("conv_id").alias("c")).distinct()
+    touched = numbers.join(stored(cut, "chat-cut"), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     messages = touched.groupBy("conv_id", "message").agg(
-        F.max(F.when(kind.isin(*RESETS), F.col("seq"))).alias("reset"),
-        F.max(F.when(kind.isin(*CUTS), F.col("seq"))).alias("cut"),
+        F.max(F.when(F.col("kind").isin(*RESETS), F.col("seq"))).alias("cut"),
+        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("named"),
     )
     floors = _earlier_cuts(messages).select(
-        F.col("conv_id").alias("c"), F.col("message").alias("m"), F.greatest("reset", "before").alias("floor")
+        F.col("conv_id").alias("c"), F.col("message").alias("m"), F.greatest("cut", "before").alias("floor"), "named"
     )
     same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("message").eqNullSafe(F.col("m"))
-    found = events.join(floors, same, "left").where("floor IS NULL OR seq >= floor")
-    return found.select(*LOG)
+    found = events.join(stored(floors, "chat-floors"), same, "left").where("floor IS NULL OR seq >= floor")
+    return found.withColumn("role", F.coalesce("named", "role")).select(*LOG)
 
 
 def fold(events: DataFrame, edited: bool = True) -> DataFrame:
@@ -140,12 +143,6 @@ def fold(events: DataFrame, edited: bool = True) -> DataFrame:
     Null text is empty. An empty log gives no rows.
     """
     living = living_events(events) if edited else events.select(*LOG)
-    if edited:
-        # a regeneration keeps the role that the opening event gave, whose text is gone
-        roles = events.where("role IS NOT NULL").groupBy("conv_id", "message").agg(F.max_by("role", "seq").alias("named"))
-        roles = roles.select(F.col("conv_id").alias("c"), F.col("message").alias("m"), "named")
-        same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("message").eqNullSafe(F.col("m"))
-        living = living.join(roles, same, "left").withColumn("role", F.coalesce("named", F.lit(""))).select(*LOG)
     ordered = living.select("conv_id", "message", "seq", "role", F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "text")
     schema = StructType([StructField("conv_id", events.schema["conv_id"].dataType), StructField("turn", LongType()),
@@ -155,15 +152,15 @@ def fold(events: DataFrame, edited: bool = True) -> DataFrame:
         held, turn, role, pieces = None, 0, "", []
         for batch in batches:
             out = []
-            for row in batch.select(["conv_id", "message", "role", "text"]).to_pylist():
-                name = (row["conv_id"], row["message"])
-                if name != held:
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "message", "role", "text"))
+            for conv, message, named, text in zip(*columns, strict=True):
+                if held != (conv, message):
                     if held is not None:
                         out.append((held[0], turn, role, "".join(pieces)))
-                        turn = turn + 1 if held[0] == name[0] else 0
-                    held, role, pieces = name, "", []
-                role = row["role"] if row["role"] is not None else role
-                pieces.append(row["text"])
+                        turn = turn + 1 if held[0] == conv else 0
+                    held, role, pieces = (conv, message), "", []
+                role = role if named is None else named
+                pieces.append(text)
             if out:
                 yield _rows(out, schema)
         if held is not None:
