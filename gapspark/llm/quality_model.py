@@ -16,10 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from gapspark.llm.common import open_fs
+from gapspark.session import fresh_path
+
 WORDS = re.compile(r"[^ \t-\r]+").findall
 BUCKETS = 1 << 18
 #: Labelled rows a fit uses at most: the first by a hash of the key.
@@ -78,7 +82,32 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[..., None] - self.thresholds, -40, 40)))
 
 
-def screen(rows: list[tuple[np.ndarray, int]], above: np.ndarray, least_rows: int, least_z: float, most: int) -> np.ndarray:
+@dataclass
+class Rated:
+    """Rated texts: the buckets of all rows end to end, where each row ends, its grade."""
+
+    buckets: np.ndarray
+    ends: np.ndarray
+    grade: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, int]]) -> Rated:
+        ends = np.cumsum([0, *[len(b) for b, _ in rows]])
+        buckets = np.concatenate([b for b, _ in rows]) if rows else np.zeros(0, np.int32)
+        return cls(buckets.astype(np.int32), ends, np.array([g for _, g in rows], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.grade)
+
+    def parts(self, size: int):
+        """Rows in parts: the rows' numbers, their buckets, the row of each bucket."""
+        for at in range(0, len(self), size):
+            edges = self.ends[at : at + size + 1]
+            rows = np.arange(at, at + len(edges) - 1)
+            yield rows, self.buckets[edges[0] : edges[-1]], np.repeat(rows, np.diff(edges))
+
+
+def screen(rows: Rated, above: np.ndarray, least_rows: int, least_z: float, most: int) -> np.ndarray:
     """The ``most`` features that a score test of the model without weights holds
     against a text with at least ``least_z`` standard errors, ascending."""
     tail = np.concatenate([[1.0], above, [0.0]])
@@ -87,15 +116,12 @@ def screen(rows: list[tuple[np.ndarray, int]], above: np.ndarray, least_rows: in
     n, total, square, marks = (np.zeros(BUCKETS) for _ in range(4))
     # features of just the same rows (a word and its beginnings) count once
     mark = np.random.default_rng(3).random(len(rows))
-    for at in range(0, len(rows), 500):
-        part = rows[at : at + 500]
-        sizes = [len(b) for b, _ in part]
-        flat = np.concatenate([b for b, _ in part])
-        value = np.repeat([of_grade[g] for _, g in part], sizes)
+    for _, flat, owner in rows.parts(500):
+        value = of_grade[rows.grade[owner]]
         n += np.bincount(flat, minlength=BUCKETS)
         total += np.bincount(flat, value, minlength=BUCKETS)
         square += np.bincount(flat, value * value, minlength=BUCKETS)
-        marks += np.bincount(flat, np.repeat(mark[at : at + 500], sizes), minlength=BUCKETS)
+        marks += np.bincount(flat, mark[owner], minlength=BUCKETS)
     z = -total / np.sqrt(square + 1e-12)
     z[n < least_rows] = 0
     best = np.argsort(-z, kind="stable")
@@ -105,6 +131,37 @@ def screen(rows: list[tuple[np.ndarray, int]], above: np.ndarray, least_rows: in
     return np.sort(best[np.sort(first)][:most])
 
 
+class Told:
+    """Which of the screened features each row has: a sparse matrix of ones."""
+
+    def __init__(self, rows: Rated, features: np.ndarray):
+        self.n, self.k = len(rows), len(features)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[features] = np.arange(self.k)
+        found = [(place[flat], owner) for _, flat, owner in rows.parts(500)]
+        self.column = np.concatenate([c[c >= 0] for c, _ in found])
+        self.row = np.concatenate([o[c >= 0].astype(np.int32) for c, o in found])
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.column], minlength=self.n)
+
+    def across(self, values: np.ndarray) -> np.ndarray:
+        """The transposed matrix times values, one or several per row."""
+        if values.ndim == 1:
+            return np.bincount(self.column, values[self.row], minlength=self.k)
+        return np.stack([self.across(v) for v in values.T], axis=1)
+
+    def curvature(self, own: np.ndarray, size: int = 1000) -> np.ndarray:
+        """The sum over rows of own times the row's outer product, in dense parts."""
+        out = np.zeros((self.k, self.k))
+        edges = np.searchsorted(self.row, np.arange(0, self.n + size, size))
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            part = np.zeros((min(size, self.n - i * size), self.k), np.float32)
+            part[self.row[a:b] - i * size, self.column[a:b]] = 1
+            out += part.T @ (part * own[i * size : (i + 1) * size, None].astype(np.float32))
+        return out
+
+
 def likelihood(score: np.ndarray, thresholds: np.ndarray, grade: np.ndarray):
     """Per row the log-likelihood, and its first and second derivatives to
     a = score - (threshold below the grade) and b = score - (threshold above it)."""
@@ -119,7 +176,7 @@ def likelihood(score: np.ndarray, thresholds: np.ndarray, grade: np.ndarray):
 
 
 def fit(
-    rows: list[tuple[np.ndarray, int]], grades: int, l2: float = 0.03, least_rows: int = 4, least_z: float = 3.0,
+    rows: Rated, grades: int, l2: float = 0.03, least_rows: int = 4, least_z: float = 3.0,
     most: int = 1500, steps: int = 40,
 ) -> OrdinalModel:
     """Newton's method on the log-likelihood with an ``l2`` penalty over the screened
@@ -128,18 +185,15 @@ def fit(
 
     With no rows, or rows of a single grade, the thresholds alone say the shares seen.
     """
-    share = np.bincount([g for _, g in rows], minlength=grades) + 0.5 if rows else np.ones(grades)
+    share = np.bincount(rows.grade, minlength=grades) + 0.5 if len(rows) else np.ones(grades)
     above = 1 - np.cumsum(share / share.sum())[:-1]
     start = -np.log(above / (1 - above))
     weights = np.zeros(BUCKETS)
-    told = screen(rows, above, least_rows, least_z, most) if len({g for _, g in rows}) > 1 else np.zeros(0, int)
+    told = screen(rows, above, least_rows, least_z, most) if len(np.unique(rows.grade)) > 1 else np.zeros(0, int)
     if not len(told):
         return OrdinalModel(weights, start)
-    grade = np.array([g for _, g in rows])
+    grade, x = rows.grade, Told(rows, told)
     k, t = len(told), grades - 1
-    x = np.zeros((len(rows), k), dtype=np.float32)
-    for row, (buckets, _) in zip(x, rows, strict=True):
-        row[np.isin(told, buckets, assume_unique=True)] = 1
     # column c of these says whether a (b) holds threshold c
     holds_a, holds_b = (grade[:, None] - 1 == np.arange(t)).astype(float), (grade[:, None] == np.arange(t)).astype(float)
     value = np.concatenate([np.zeros(k), start])
@@ -147,19 +201,15 @@ def fit(
     def total(v: np.ndarray) -> float:
         if (np.diff(v[k:]) <= 1e-6).any():
             return -np.inf
-        return float(likelihood(x @ v[:k], v[k:], grade)[0].sum() - l2 / 2 * (v[:k] ** 2).sum())
+        return float(likelihood(x.times(v[:k]), v[k:], grade)[0].sum() - l2 / 2 * (v[:k] ** 2).sum())
 
     now = total(value)
     for _ in range(steps):
-        _, da, db, haa, hbb, hab = likelihood(x @ value[:k], value[k:], grade)
-        slope = np.concatenate([x.T @ (da + db) - l2 * value[:k], -(holds_a.T @ da + holds_b.T @ db)])
+        _, da, db, haa, hbb, hab = likelihood(x.times(value[:k]), value[k:], grade)
+        slope = np.concatenate([x.across(da + db) - l2 * value[:k], -(holds_a.T @ da + holds_b.T @ db)])
         curve = np.empty((k + t, k + t))
-        curve[:k, :k] = 0
-        own = (haa + hbb + 2 * hab).astype(np.float32)[:, None]
-        for at in range(0, len(rows), 1000):
-            part = x[at : at + 1000]
-            curve[:k, :k] += part.T @ (part * own[at : at + 1000])
-        cross = -(x.T @ (holds_a * (haa + hab)[:, None] + holds_b * (hbb + hab)[:, None]))
+        curve[:k, :k] = x.curvature(haa + hbb + 2 * hab)
+        cross = -x.across(holds_a * (haa + hab)[:, None] + holds_b * (hbb + hab)[:, None])
         curve[:k, k:], curve[k:, :k] = cross, cross.T
         mixed = holds_a.T @ (holds_b * hab[:, None])
         curve[k:, k:] = holds_a.T @ (holds_a * haa[:, None]) + holds_b.T @ (holds_b * hbb[:, None]) + mixed + mixed.T
@@ -205,24 +255,43 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, text: str = "text",
 
     hashed = texts.select(F.col("grade").cast("int").alias("grade"), "__text")
     found = hashed.mapInArrow(run, "grade int, buckets array<int>").orderBy(F.xxhash64("grade", "buckets")).limit(max_fit)
-    rows_ = []
-    for batch in found.toArrow().to_batches(1000):
-        grades_of, buckets = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-        rows_ += [(np.array(b, dtype=np.int32), g) for g, b in zip(grades_of, buckets, strict=True)]
-    return fit(rows_, grades, **options)
+    return fit(read_rated(found), grades, **options)
+
+
+def read_rated(found: DataFrame) -> Rated:
+    """Rows of (grade, buckets), bounded by the caller, without a detour over rows of the
+    driver's JVM: written once and read as flat arrays."""
+    path = fresh_path(found.sparkSession, "rated")
+    found.write.parquet(path)
+    system, folder = open_fs(path)
+    grades, buckets, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for batch in dataset(folder, filesystem=system, format="parquet").to_batches(columns=["grade", "buckets"], batch_size=1000):
+        grades.append(batch.column(0).to_numpy().astype(np.int64))
+        column = batch.column(1)
+        sizes.append(np.diff(column.offsets.to_numpy()))
+        buckets.append(column.flatten().to_numpy())
+    return Rated(np.concatenate(buckets), np.cumsum(np.concatenate(sizes)), np.concatenate(grades))
+
+
+RESULT = ("expected_grade", "top_tail", "kept")
 
 
-def apply(df: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[str, ...] | None = ("doc_id",), least: float = 0.5) -> DataFrame:
+def apply(
+    df: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[str, ...] | None = ("doc_id",), least: float = 0.5,
+    result: tuple[str, str, str] = RESULT,
+) -> DataFrame:
     """One row per row: the ``keep`` columns (None: all), expected_grade, top_tail, kept.
 
+    ``result`` names the three; a kept column of such a name gives way to it.
     ``top_tail`` is P(highest grade); ``kept`` says it is at least ``least``. Null texts
     count as empty, and an empty text has no features: the thresholds alone decide.
     Whole texts are read, row by row, without a shuffle.
     """
     names = df.columns if keep is None else list(keep)
-    kept = df.select(*[F.col(f"`{k}`") for k in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = StructType([*kept.schema.fields[:-1], StructField("expected_grade", DoubleType()),
-                         StructField("top_tail", DoubleType()), StructField("kept", BooleanType())])
+    plain = [F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(names)]
+    kept = df.select(*plain, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    kinds = (DoubleType(), DoubleType(), BooleanType())
+    schema = StructType([*kept.schema.fields[:-1], *(StructField(f"r{i}", t) for i, t in enumerate(kinds))])
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,4 +303,7 @@ def apply(df: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[st
             added = [pa.array(tails.sum(axis=-1)), pa.array(tails[..., -1]), pa.array(tails[..., -1] >= least)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *added], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    judged = kept.mapInArrow(run, schema)
+    taken = {name.lower() for name in result}
+    own = [F.col(f"c{i}").alias(k) for i, k in enumerate(names) if k.lower() not in taken]
+    return judged.select(*own, *(F.col(f"r{i}").alias(name) for i, name in enumerate(result)))

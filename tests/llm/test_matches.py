@@ -152,10 +152,10 @@ def test_pipeline(spark, folder):
     kept = {r.doc_id for r in p.quality_rules_stage(spark, docs, folder).collect()}
     judged = {r.doc_id: r.kept for r in p.quality_rules.quality_rules(docs).collect()}
     assert kept == {k for k, ok in judged.items() if ok}
-    left = p.near_duplicates_stage(spark, docs, folder)
+    left = p.near_copies_stage(spark, docs, folder)
     assert left.columns == docs.columns
     texts = {r.doc_id: r.text for r in docs.collect()}
-    groups = brute_groups(texts, 90)
+    groups = brute_groups(texts, 80, 5)
     assert {r.doc_id for r in left.collect()} == {k for k, (n, low) in groups.items() if k == low or not n}
     rows = p.run(spark, folder)
     assert {"doc_id", "batch", "n_tokens"} <= set(rows.columns)
@@ -168,14 +168,16 @@ def test_pipeline(spark, folder):
 def test_pipeline_stages_take_odd_rows(spark, odd, none, folder):
     import corpus_pipeline as p
 
-    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    clashing = odd.withColumns({c: F.lit(c) for c in ("__row", "__HITS", "top_tail", "expected_grade", "__kept", "base_failed", "cell")})
     for name, stage in p.STAGES[:-1]:
-        assert stage(spark, plain, folder).columns == plain.columns, name
-        assert stage(spark, plain.limit(0), folder).count() == 0, name
-    left = p.near_duplicates_stage(spark, odd, folder)
+        left = stage(spark, clashing, folder)
+        assert left.columns == clashing.columns, name
+        assert all(r["__row"] == "__row" and r["kept"] == "no" for r in left.collect()), name
+        assert stage(spark, clashing.limit(0), folder).count() == 0, name
+    assert p.packing_stage(spark, clashing, folder).count() == 7 + 30_000 // 2048 + 1
+    # fewer than five words are one shingle: the two rows of id 1 and the one in capitals are copies
+    left = p.near_copies_stage(spark, odd, folder)
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 4, 5]
-    assert set(left.columns) == set(odd.columns)
-    assert left.agg(F.count("*")).first()[0] == 6
 
 
 def test_pipeline_links_five_words_at_80_percent(spark, folder):

@@ -172,3 +172,37 @@ def test_batches_hold_every_piece_once(spark, odd, none, monkeypatch):
         assert sorted((r.batch, r.slot_in_batch) for r in own) == [divmod(i, room) for i in range(len(own))]
     assert packing.pack(none).count() == 0
     assert sum(r.n_tokens for r in packing.pack(odd).collect()) == 30_000 + 4 * 5 + 1
+
+
+def test_fit_is_the_maximum_of_a_plain_likelihood():
+    """The penalised likelihood, written out per row, falls in every direction from the fit."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(300):
+        told = np.flatnonzero(rng.random(6) < 0.4)
+        score = 1.5 - 2.0 * (0 in told) - 1.0 * (1 in told) + rng.logistic()
+        rows.append((told.astype(np.int32), int(score > 0) + int(score > 1)))
+    model = quality_model.fit(quality_model.Rated.of(rows), 3, l2=0.1, least_z=1.0)
+    used = np.flatnonzero(model.weights)
+    assert {0, 1} <= set(used)
+
+    def plain(weights, thresholds):
+        total = -0.05 * sum(w * w for w in weights)
+        for told, grade in rows:
+            score = sum(w for f, w in zip(used, weights, strict=True) if f in told)
+            above = [1.0, *(1 / (1 + np.exp(t - score)) for t in thresholds), 0.0]
+            total += np.log(above[grade] - above[grade + 1])
+        return total
+
+    weights, best = model.weights[used], plain(model.weights[used], model.thresholds)
+    for step in np.vstack([np.eye(len(used) + 2), rng.normal(size=(10, len(used) + 2))]) * 0.05:
+        for sign in (1, -1):
+            assert plain(weights + sign * step[:-2], model.thresholds + sign * step[-2:]) < best + 1e-3
+
+
+def test_model_columns_give_way_or_stay(spark, odd):
+    model = quality_model.OrdinalModel(np.zeros(quality_model.BUCKETS), np.array([-1.0, 0.5]))
+    got = quality_model.apply(odd, model, keep=None)
+    assert got.columns == [c for c in odd.columns if c != "kept"] + list(quality_model.RESULT)
+    free = quality_model.apply(odd, model, keep=None, result=("a", "b", "c"))
+    assert free.columns == [*odd.columns, "a", "b", "c"] and {r.kept for r in free.collect()} == {"no"}
