@@ -55,15 +55,16 @@ def _speaking(marked: Column, bit: int) -> Column:
     return F.filter(marked, lambda m: m["mask"].bitwiseAND(F.lit(1 << bit)) != 0)
 
 
-def aspect_rows(
+def with_aspects(
     reviews: DataFrame,
     content: str = "review_content",
     max_words: int | None = None,
     with_text: bool = True,
     start_words: int | None = None,
     max_chars: int | None = None,
+    out: str = "_aspects",
 ) -> DataFrame:
-    """Eight rows per review: aspect, confidence, detected and the text to judge.
+    """Adds an array of the eight aspects: aspect, confidence, the text to judge, detected.
 
     Confidence looks at the first ``max_words`` words (None: all), the judged text
     is the first three speaking sentences of the whole review, or the review (its
@@ -103,7 +104,21 @@ def aspect_rows(
         return F.struct(*fields)
 
     rows = F.array(*(row(i, a) for i, a in enumerate(ASPECTS)))
-    exploded = parted.select(*reviews.columns, F.inline(rows))
+    return parted.select(*reviews.columns, rows.alias(out))
+
+
+def aspect_rows(
+    reviews: DataFrame,
+    content: str = "review_content",
+    max_words: int | None = None,
+    with_text: bool = True,
+    start_words: int | None = None,
+    max_chars: int | None = None,
+) -> DataFrame:
+    """Eight rows per review, as ``with_aspects`` finds them: aspect, confidence, the text
+    to judge and whether the aspect is detected."""
+    marked = with_aspects(reviews, content, max_words, with_text, start_words, max_chars)
+    exploded = marked.select(*reviews.columns, F.inline("_aspects"))
     return exploded.withColumn(
         "detected", F.col("confidence") > fixed.ASPECT_MIN_CONFIDENCE
     )
@@ -148,26 +163,29 @@ def overall_by(judged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def judgement(detected: Column, p: Column) -> dict[str, Column]:
+    """Stars, sentiment and confidence; an undetected aspect is neutral with three stars."""
+    stars = F.when(detected, scores.probability_to_stars(p)).otherwise(3)
+    sure = F.bround(F.greatest(p, 1 - p), 4)
+    return {
+        "stars": stars,
+        "sentiment": scores.stars_to_sentiment(stars),
+        "sentiment_confidence": F.when(detected, sure).otherwise(0.0),
+    }
+
+
 def judge_aspects(rows: DataFrame, model) -> DataFrame:
     """Stars and sentiment of every aspect row from a model's positive probability.
 
-    Undetected aspects are neutral with three stars and no confidence.
+    Only detected aspects are scored; the others are neutral with three stars and no
+    confidence, and their text to judge is empty.
     """
-    judged = model.probability(
-        rows.withColumn(
-            "judged_text", F.when(F.col("detected"), F.col("judged_text")).otherwise("")
-        ),
-        "judged_text",
-        "_p",
-    )
-    stars = F.when(F.col("detected"), scores.probability_to_stars(F.col("_p"))).otherwise(3)
-    sure = F.bround(F.greatest(F.col("_p"), 1 - F.col("_p")), 4)
-    return (
-        judged.withColumn("stars", stars)
-        .withColumn("sentiment", scores.stars_to_sentiment(F.col("stars")))
-        .withColumn("sentiment_confidence", F.when(F.col("detected"), sure).otherwise(0.0))
-        .drop("_p")
+    scored = model.probability(rows.where("detected"), "judged_text", "_p")
+    others = rows.where("NOT detected").withColumns(
+        {"judged_text": F.lit(""), "_p": F.lit(None).cast("double")}
     )
+    judged = scored.unionByName(others)
+    return judged.withColumns(judgement(F.col("detected"), F.col("_p"))).drop("_p")
 
 
 OPINION_COLUMNS = (
@@ -176,31 +194,56 @@ OPINION_COLUMNS = (
 )
 
 
+def analysed_texts(reviews: DataFrame, models, content: str = "review_content") -> DataFrame:
+    """(text_id, aspects, overall) per distinct text of the reviews.
+
+    Equal texts are analysed once. The eight aspects stay an array in the text's row; only
+    the sentences of detected ones leave it, to be scored, and a probability comes back.
+    """
+    body = reviews.select(F.md5(F.coalesce(content, F.lit(""))).alias("text_id"), F.col(content).alias("text"))
+    texts = body.groupBy("text_id").agg(F.first("text", ignorenulls=True).alias("text"))
+    listed = with_aspects(texts, "text").drop("text")
+    listed = cut_lineage(reviews.sparkSession, listed)
+    is_detected = lambda a: a["confidence"] > fixed.ASPECT_MIN_CONFIDENCE
+    asked = listed.select("text_id", F.inline(F.filter("_aspects", is_detected)))
+    scored = models.probability(asked, "judged_text", "_p")
+    found = scored.groupBy("text_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("aspect", "_p"))).alias("_p_of")
+    )
+
+    def judged(a: Column) -> Column:
+        fields = judgement(is_detected(a), F.element_at("_p_of", a["aspect"]))
+        return F.struct(a["aspect"].alias("aspect"), a["confidence"].alias("confidence"), *(c.alias(n) for n, c in fields.items()))
+
+    rows = listed.join(found, "text_id", "left").select(
+        "text_id", F.sort_array(F.transform("_aspects", judged)).alias("aspects")
+    )
+
+    def votes(word: str) -> Column:
+        return F.size(F.filter("aspects", lambda a: is_detected(a) & (a["sentiment"] == word)))
+
+    return rows.withColumn("overall", overall_sentiment(votes("Positive"), votes("Negative"), votes("Neutral")))
+
+
 def review_analysis(
     reviews: DataFrame, keys: list[str], models, content: str = "review_content"
 ) -> DataFrame:
     """One row per review: its eight aspects, overall sentiment and both opinions.
 
-    The key columns need not be unique or known: a number is given to each review and
-    stored before the aspects are laid out, so that reviews sharing a key, or without
-    one, stay apart and a repeated task finds the same numbers. Only short columns, not
-    the texts, go through the aggregation.
+    The key columns need not be unique or known: every review is a row of its own, joined
+    to what its text gives.
     """
     opinions = models.ensemble(reviews.select(*keys, content), content)
-    numbered = opinions.withColumn("_row", F.monotonically_increasing_id())
-    numbered = cut_lineage(reviews.sparkSession, numbered)
-    rows = aspect_rows(numbered.select("_row", content), content)
-    judged = judge_aspects(rows.drop(content), models).drop("judged_text")
-    listed = F.sort_array(
-        F.collect_list(
-            F.struct("aspect", "confidence", "stars", "sentiment", "sentiment_confidence")
-        )
-    )
-    votes = {
-        word: F.count_if(F.col("detected") & (F.col("sentiment") == word))
-        for word in ("Positive", "Negative", "Neutral")
-    }
-    found = judged.groupBy("_row").agg(
-        listed.alias("aspects"), overall_sentiment(*votes.values()).alias("overall")
-    )
-    return numbered.join(found, "_row").select(*keys, "aspects", "overall", *OPINION_COLUMNS)
+    keyed = opinions.withColumn("text_id", F.md5(F.coalesce(content, F.lit("")))).drop(content)
+    found = analysed_texts(reviews, models, content)
+    return keyed.join(found, "text_id").select(*keys, "aspects", "overall", *OPINION_COLUMNS)
+
+
+def aspect_stars(
+    reviews: DataFrame, keys: list[str], models, content: str = "review_content"
+) -> DataFrame:
+    """One row per review and detected aspect: stars, sentiment and its confidence."""
+    found = analysed_texts(reviews, models, content).select("text_id", F.inline("aspects"))
+    spoken = found.where(F.col("confidence") > fixed.ASPECT_MIN_CONFIDENCE).drop("confidence")
+    keyed = reviews.select(*keys, F.md5(F.coalesce(content, F.lit(""))).alias("text_id"))
+    return keyed.join(spoken, "text_id").drop("text_id")

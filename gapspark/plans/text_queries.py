@@ -1,10 +1,13 @@
 """Registered queries over texts: aspects, sentiment models, learning from new rows."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from gapspark import fixed, session
 from gapspark.functions import scores
-from gapspark.operators import aspects, classify
+from gapspark.operators import aspects, classify, linear
+from gapspark.plans import model_sql
 from gapspark.plans.registry import query
 
 def hits_sql(columns: str) -> str:
@@ -229,19 +232,19 @@ def _replay_mix(v):
 
 
 STEP = """
-WITH corpus AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS words,
+WITH corpus AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS words,
     CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)),
-counts AS (SELECT doc_id, term, count(*) AS tf
+counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf
   FROM (SELECT doc_id, unnest(words) AS term FROM corpus) GROUP BY doc_id, term),
-weights AS (SELECT term, ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) + 1 AS idf
+weights AS MATERIALIZED (SELECT term, ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) + 1 AS idf
   FROM counts GROUP BY term),
-raws AS (SELECT doc_id, term, (ln(tf) + 1) * idf AS raw FROM counts JOIN weights USING (term)),
-vals AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS x FROM raws),
-w1 AS (SELECT term, -2.0E0 * sum(x * (0.5E0 - label)) / (SELECT count(*) FROM corpus) AS w
+raws AS MATERIALIZED (SELECT doc_id, term, (ln(tf) + 1) * idf AS raw FROM counts JOIN weights USING (term)),
+vals AS MATERIALIZED (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS x FROM raws),
+w1 AS MATERIALIZED (SELECT term, -2.0E0 * sum(x * (0.5E0 - label)) / (SELECT count(*) FROM corpus) AS w
   FROM vals JOIN corpus USING (doc_id) GROUP BY term),
-errors AS (SELECT doc_id, 1 / (1 + exp(-sum(x * w))) AS p FROM vals JOIN w1 USING (term)
+errors AS MATERIALIZED (SELECT doc_id, 1 / (1 + exp(-sum(x * w))) AS p FROM vals JOIN w1 USING (term)
   GROUP BY doc_id),
-slopes AS (SELECT term, sum(x * (p - label)) / (SELECT count(*) FROM corpus) AS slope
+slopes AS MATERIALIZED (SELECT term, sum(x * (p - label)) / (SELECT count(*) FROM corpus) AS slope
   FROM vals JOIN errors USING (doc_id) JOIN corpus USING (doc_id) GROUP BY term)
 SELECT term, round(w - 2.0E0 * slope, 6) AS w FROM w1 JOIN slopes USING (term)
 """
@@ -259,39 +262,161 @@ def _incremental_step(v):
     return twice.select("term", F.round("w", 6).alias("w"))
 
 
-@query("classifier_accuracy")
+SPLIT_ROWS = [
+    model_sql.cte("ranked", """SELECT doc_id, coalesce(text, '') AS text, quality AS label,
+      row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS STRING) || '#42'), CAST(doc_id AS STRING)) AS place,
+      count(*) OVER (PARTITION BY quality) AS size FROM labels JOIN documents USING (doc_id)"""),
+    model_sql.cte("parted", """SELECT doc_id, text, label, CASE WHEN place <= floor(size * 0.8E0) THEN 'train'
+      WHEN place <= floor(size * (0.8E0 + 0.1E0)) THEN 'val' ELSE 'test' END AS split FROM ranked"""),
+    model_sql.cte("train", "SELECT text, label FROM parted WHERE split = 'train'"),
+]
+
+
+def split_documents(v):
+    return classify.stratified_split(labelled_documents(v), "doc_id", "label")
+
+
+@query(
+    "classifier_accuracy",
+    (),
+    model_sql.with_clause(
+        SPLIT_ROWS, model_sql.fit("model", "train"),
+        model_sql.cte("texts", "SELECT DISTINCT md5(text) AS key, text FROM parted"),
+        model_sql.scores("scored", "texts", "model"),
+        model_sql.cte("judged", f"""SELECT split, label, unnest([{{'model': '{fixed.MODEL_FAST}', 'p': fast}},
+          {{'model': '{fixed.MODEL_DEEP}', 'p': deep}}]) AS o FROM parted JOIN scored ON scored.key = md5(text)"""),
+    )
+    + """SELECT split, o.model AS model, count(*) AS samples,
+      round_even(count(*) FILTER ((o.p >= 0.5) = (label = 1)) / count(*), 4) AS accuracy FROM judged GROUP BY split, o.model""",
+)
 def _classifier_accuracy(v):
-    rows = classify.stratified_split(labelled_documents(v), "doc_id", "label")
-    models = classify.fit_models(rows.where("split = 'train'"), max_iter=30)
-    return classify.accuracy_report(models, rows)
+    rows = split_documents(v)
+    return linear.accuracy(linear.fit(rows.where("split = 'train'")), rows)
 
 
-#: Labelled reviews that the models of the registered queries are fitted on at most.
-FIT_ROWS = 20_000
+@query(
+    "incremental_scores",
+    (),
+    model_sql.with_clause(
+        SPLIT_ROWS, model_sql.fit("model", "train"),
+        model_sql.cte("fresh", "SELECT text, label FROM parted WHERE split = 'val'"),
+        model_sql.rated("batch", "fresh"),
+        model_sql.cte("known", "SELECT term, factor FROM model"),
+        model_sql.values("batch_values", "batch", "known"),
+        model_sql.cte("start", "SELECT term, w FROM model_fast"),
+        model_sql.steps("learnt", "start", "batch_values", "batch", 2, linear.RATE, linear.PENALTY),
+        model_sql.cte("texts", "SELECT DISTINCT md5(text) AS key, text FROM parted"),
+        model_sql.scores("before", "texts", "model"),
+        model_sql.scores("after", "texts", "model", "learnt"),
+    )
+    + """SELECT doc_id, round(b.fast, 6) AS before, round(a.fast, 6) AS after, a.fast >= 0.5 AS positive
+    FROM parted JOIN before b ON b.key = md5(text) JOIN after a ON a.key = b.key""",
+)
+def _incremental_scores(v):
+    """One model answers, learns from rows it had not seen, and answers differently."""
+    rows = split_documents(v)
+    before = linear.fit(rows.where("split = 'train'"))
+    after = linear.learn(before, rows.where("split = 'val'"), steps=2)
+    scored = after.probability(before.probability(rows, "text", "before"), "text", "after")
+    return scored.select(
+        "doc_id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), (F.col("after") >= 0.5).alias("positive")
+    )
 
 
 def review_models(v):
-    """Both models, trained on at most FIT_ROWS labelled reviews, the first by a hash."""
-    train = v.plain_reviews.select(
-        "review_content", F.col("label").cast("double").alias("label"), "film_link", "external_id"
-    )
-    order = F.xxhash64("film_link", "external_id", "review_content")
-    bounded = train.orderBy(order, "external_id").limit(FIT_ROWS).select("review_content", "label")
-    bounded = session.cut_lineage(v.spark, bounded)
-    return classify.fit_models(bounded, "review_content", "label", max_iter=10)
+    """Both opinions, fitted on all labelled reviews."""
+    return linear.fit(v.plain_reviews, "review_content", "label")
+
 
+REVIEW_MODEL = [
+    model_sql.cte("review_rows", "SELECT film_link, source, external_id, review_content AS text, label FROM fx_reviews"),
+    model_sql.fit("model", "review_rows"),
+    model_sql.cte("texts", "SELECT DISTINCT md5(text) AS key, text FROM review_rows"),
+]
 
-@query("review_sentiment")
+
+@query(
+    "review_sentiment",
+    ("fx_reviews",),
+    model_sql.with_clause(
+        REVIEW_MODEL, model_sql.scores("scored", "texts", "model"),
+        model_sql.cte("labelled", f"SELECT film_link, source, external_id, {model_sql.opinions()} FROM review_rows JOIN scored ON key = md5(text)"),
+    )
+    + f"SELECT film_link, source, external_id, {model_sql.ENSEMBLE} FROM labelled",
+)
 def _review_sentiment(v):
-    models = review_models(v)
-    opinions = models.ensemble(keyed_reviews(v), "review_content")
+    opinions = review_models(v).ensemble(keyed_reviews(v), "review_content")
     return opinions.drop("review_content")
 
 
-@query("review_analysis")
+def fixed_scorer():
+    """Stands for a model that is loaded once per worker: judges by a text's length."""
+    def judge(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        return pa.array(["Positive" if n % 2 == 0 else "Negative" for n in size]), pa.array(0.5 + size % 100 / 250)
+
+    return judge
+
+
+@query(
+    "external_opinion",
+    (),
+    """WITH o AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    SELECT doc_id, CASE WHEN text <> '' THEN CASE WHEN length(text) % 2 = 0 THEN 'Positive' ELSE 'Negative' END END AS deep_label,
+      CASE WHEN text <> '' THEN round(0.5 + length(text) % 100 / 250, 4) END AS deep_confidence FROM o""",
+)
+def _external_opinion(v):
+    documents = v.table("documents").select("doc_id", "text")
+    judged = classify.VectorModel(fixed_scorer, "length").opinion(documents, "text", "deep_label", "deep_confidence")
+    known = F.col("text") != ""
+    return judged.select("doc_id", *(F.when(known, F.col(c)).alias(c) for c in ("deep_label", "deep_confidence")))
+
+
+#: Detected aspects of the distinct review texts, judged by the fast opinion.
+JUDGED = [
+    REVIEW_MODEL,
+    model_sql.cte("split", """SELECT key, text, list_filter(list_transform(string_split(
+      regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 10) AS sentences
+      FROM texts"""),
+    model_sql.cte("hits", hits_sql("key, text")),
+    model_sql.cte("shares", """SELECT *, coalesce(CAST(len(spoken) AS DOUBLE) / nullif(len(sentences), 0), 0) AS confidence FROM hits"""),
+    model_sql.cte("asked", """SELECT key AS text_key, aspect, array_to_string(spoken[1:3], ' ') AS text FROM shares WHERE confidence > 0.15"""),
+    model_sql.cte("spans", "SELECT DISTINCT md5(text) AS key, text FROM asked"),
+    model_sql.scores("spoken_scores", "spans", "model"),
+    model_sql.cte("judged", """SELECT text_key, aspect, stars, CASE WHEN stars <= 2 THEN 'Negative' WHEN stars = 3 THEN 'Neutral' ELSE 'Positive' END
+        AS sentiment, round(greatest(fast, 1 - fast), 4) AS sentiment_confidence
+      FROM (SELECT text_key, aspect, fast, CAST(least(5, 1 + floor(5 * fast)) AS INTEGER) AS stars
+        FROM asked JOIN spoken_scores ON key = md5(text))"""),
+]
+
+
+@query(
+    "aspect_stars",
+    ("fx_reviews",),
+    model_sql.with_clause(*JUDGED)
+    + """SELECT film_link, source, external_id, aspect, stars, sentiment, sentiment_confidence
+    FROM review_rows JOIN judged ON text_key = md5(text)""",
+)
+def _aspect_stars(v):
+    return aspects.aspect_stars(keyed_reviews(v), list(classify.SENTIMENT_KEY), review_models(v))
+
+
+@query(
+    "review_analysis",
+    ("fx_reviews",),
+    model_sql.with_clause(
+        *JUDGED, model_sql.scores("scored", "texts", "model"),
+        model_sql.cte("votes", """SELECT text_key, count(*) AS detected, count(*) FILTER (sentiment = 'Positive') AS positive,
+          count(*) FILTER (sentiment = 'Negative') AS negative, count(*) FILTER (sentiment = 'Neutral') AS neutral FROM judged GROUP BY text_key"""),
+        model_sql.cte("labelled", f"SELECT film_link, source, external_id, key, {model_sql.opinions()} FROM review_rows JOIN scored ON key = md5(text)"),
+    )
+    + f"""SELECT film_link, source, external_id, CASE WHEN positive > negative AND positive > neutral THEN 'Positive'
+      WHEN negative > positive AND negative > neutral THEN 'Negative' ELSE 'Mixed' END AS overall,
+      8 AS aspects, CAST(coalesce(detected, 0) AS INTEGER) AS detected, {model_sql.VERDICT}
+    FROM labelled LEFT JOIN votes ON text_key = key""",
+)
 def _review_analysis(v):
-    models = review_models(v)
-    analysed = aspects.review_analysis(keyed_reviews(v), list(classify.SENTIMENT_KEY), models)
+    analysed = aspects.review_analysis(keyed_reviews(v), list(classify.SENTIMENT_KEY), review_models(v))
     return analysed.select(
         *classify.SENTIMENT_KEY,
         "overall",

@@ -70,3 +70,29 @@ def cut_lineage(spark: SparkSession, df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str):
+    """A frame written below the shared folder and read back: the lineage is cut and the
+    planner knows its size, so a small table is broadcast by its measured bytes."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(df, key: str, name: str):
+    """A frame written in buckets of a key, as a table for the length of a block.
+
+    Aggregates, windows and joins by the key then need no exchange, however often the
+    table is read. The files stay below the shared folder, only the name goes.
+    """
+    spark = df.sparkSession
+    table = f"gapspark_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", fresh_path(spark, name)).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
