@@ -17,8 +17,8 @@ UPSERT_COLUMNS = (
 )
 
 
-#: Parts a group is cut in before its rows meet.
-SALTS = 8
+#: Parts a group is cut in before its rows meet; none unless a caller asks.
+SALTS = 0
 
 
 def top_per_group(
@@ -29,8 +29,9 @@ def top_per_group(
 
     The bound on the row number lets Spark cut every map partition to n rows per
     group before the shuffle. What a hot group then sends to its one task grows
-    with the number of map tasks only; ``salts`` (0: off) bounds that too: the map tasks are
-    dealt to that many parts of the group, each cut to n rows of its own first.
+    with the number of map tasks only: n rows for each. Where that is too much, ``salts``
+    deals the map tasks to that many parts of the group, each cut to n rows of its own
+    first, at the price of one more shuffle of what is left.
     """
     if salts:
         salted = df.withColumn("_salt", F.spark_partition_id() % salts)
@@ -40,11 +41,19 @@ def top_per_group(
     return df.withColumn(rank, place).where(F.col(rank) <= n)
 
 
-def first_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], salts: int = SALTS
-) -> DataFrame:
-    """The first row of every key in a total order; many copies of a key are cheap."""
-    return top_per_group(df, keys, order, 1, "_rank", salts).drop("_rank")
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of every key, by ``order`` (values, ascending, null first) and then by
+    the row's other columns.
+
+    An aggregate: every task keeps one row per key before the one shuffle, so many copies
+    of a key are cheap and no key is hot.
+    """
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    places = [o.alias(f"_{i}") for i, o in enumerate(order)]
+    first = F.min(F.struct(*places, F.struct(*others).alias("_row"))).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, "_first._row.*").select(*df.columns)
 
 
 def new_rows(

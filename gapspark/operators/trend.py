@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gapspark import fixed
 from gapspark.functions import dates, stats, text
+from gapspark.session import written
 
 
 def _by_month(reviews: DataFrame) -> DataFrame:
@@ -138,9 +139,10 @@ def stale_films(films: DataFrame, trends: DataFrame) -> DataFrame:
 def refresh_trends(films: DataFrame, reviews: DataFrame, trends: DataFrame, now) -> DataFrame:
     """The trend table after recomputing only what is stale.
 
-    Reviews of films that are up to date are dropped before the aggregation.
+    Reviews of films that are up to date are dropped before the aggregation. The stale
+    films, read three times, are found once and written: keys only.
     """
-    stale = stale_films(films, trends)
+    stale = written(stale_films(films, trends), "stale-films")
     fresh = film_trends(stale, reviews.join(stale, "film_link", "left_semi")).withColumn(
         "analysed_on", now
     )

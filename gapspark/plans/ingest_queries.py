@@ -4,6 +4,8 @@ The raw shape (all text, or JSON) is made from the given tables, so that each
 query runs the same cleaning a file would go through.
 """
 
+from contextlib import suppress
+
 from pyspark.sql import functions as F
 
 from gapspark import schemas
@@ -14,6 +16,7 @@ from gapspark.plans.merge_queries import PAYLOADS, answers
 from gapspark.plans.registry import query
 from gapspark.session import fresh_path
 from gapspark.sources import csv_files, documents
+from gapspark.sources.run_log import RunLog
 
 
 def through_csv(v, raw, multiline=False):
@@ -409,3 +412,36 @@ def _link_rate(v):
     linked = link.link_articles(review_rows(v), v.gap_films)
     stored = linked.where("has_body AND film_link IS NOT NULL AND review_date < '1998-01-01'")
     return link.link_rate(linked, stored)
+
+
+@query(
+    "resumed_link",
+    ("fx_articles", "gx_films"),
+    LINKED
+    + """SELECT CAST(article_id AS STRING) AS external_id, film_link, strftime(published, '%Y-%m') AS month FROM linked
+    WHERE film_link IS NOT NULL""",
+)
+def _resumed_link(v):
+    """Months up to 1995 are imported, the next run breaks, is repeated, and run once more."""
+    months = F.date_format("published", "yyyy-MM").alias("month")
+    titled = v.articles.select(
+        F.col("article_id").cast("string").alias("external_id"), text.headline_title(F.col("headline")).alias("film_title"), months
+    )
+    folder = fresh_path(v.spark, "import")
+    titled.write.partitionBy("month").parquet(f"{folder}/landing")
+    landing = v.spark.read.schema(titled.schema).parquet(f"{folder}/landing")
+    runs = RunLog(v.spark, f"{folder}/runs", "month")
+
+    def work(rows):
+        return link.link_articles(rows, v.gap_films).where("film_link IS NOT NULL").drop("film_title")
+
+    def breaks(rows):
+        work(rows).write.parquet(f"{folder}/runs/rows/run=1")
+        raise ConnectionError("broke before the commit")
+
+    runs.run(landing, work, upto="1995-12")
+    with suppress(ConnectionError):
+        runs.run(landing, breaks)
+    runs.run(landing, work)
+    runs.run(landing, work)
+    return runs.rows()

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from gapspark import session
 from gapspark.functions import text
 from gapspark.plans.fixtures import Views
-from gapspark.plans.ingest_queries import LINKED
+from gapspark.plans.ingest_queries import LINKED, TITLES
 from gapspark.plans.registry import query
+from gapspark.sources.keyed_log import KeyedLog
 from gapspark.streaming import lifecycle, reviews as stream_ops
 
 
@@ -43,26 +44,51 @@ def _stream_dedupe(v):
     return v.spark.read.parquet(rows)
 
 
-LAST = "(SELECT max(review_date) FROM fx_reviews)"
+#: Files that a registered stream reads one after the other, each in a batch of its own.
+FILES = 4
+
+
+def landed(v, rows, day, name: str):
+    """A table as files of a landing folder in the order of its days, and its stream."""
+    folder = session.fresh_path(v.spark, f"{name}-landing")
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    width = max(1, -(-((last - first).days + 1) // FILES))
+    part = F.floor(F.datediff(F.col(day), F.lit(first)) / width)
+    stream_ops.land(rows, folder, FILES, part)
+    return folder, stream_ops.read_parquet_stream(v.spark, folder, rows.schema, files=1)
+
+
+def dated_reviews(v):
+    rows = v.plain_reviews.select("film_link", "review_type", "review_date")
+    return rows.withColumn("ts", stream_ops.event_time(F.col("review_date")))
+
+
+def closed(v, folder, schema):
+    """Adds the closing mark; its film is the empty name, which no film has."""
+    stream_ops.close_landing(v.spark, folder, schema, ts=stream_ops.CLOSING, film_link="")
 
 
 @query(
     "stream_windows",
     ("fx_reviews",),
-    f"""WITH spans AS (SELECT *, TIMESTAMP '1970-01-01' + INTERVAL (floor(
+    """WITH spans AS (SELECT *, TIMESTAMP '1970-01-01' + INTERVAL (floor(
         datediff('day', DATE '1970-01-01', review_date) / 7.0) * 7) DAY AS window_start
       FROM fx_reviews)
     SELECT CAST(window_start AS DATE) AS window_start,
       CAST(window_start + INTERVAL 7 DAY AS DATE) AS window_end,
       count(*) FILTER (lower(trim(review_type)) = 'fresh') AS fresh_count,
       count(*) FILTER (lower(trim(review_type)) = 'rotten') AS rotten_count
-    FROM spans WHERE window_start + INTERVAL 7 DAY <= {LAST} - INTERVAL 1 DAY
-    GROUP BY window_start""",
+    FROM spans GROUP BY window_start""",
 )
 def _stream_windows(v):
-    counts = stream_ops.window_counts(review_stream(v), "ts")
-    rows, _ = stream_ops.run_to_table(v.spark, counts, "windows")
-    return v.spark.read.parquet(rows).select(
+    """Update mode into a keyed table: every window is there, closed or not."""
+    _, stream = landed(v, dated_reviews(v), "review_date", "windows")
+    counts = stream_ops.window_counts(stream, "ts")
+    base = session.fresh_path(v.spark, "windows")
+    log = KeyedLog(v.spark, f"{base}/table", "window_start", overwrite=True)
+    log.start(v.spark.createDataFrame([], counts.schema))
+    stream_ops.keep_updates(counts, log, f"{base}/state").awaitTermination()
+    return log.read().select(
         F.col("window_start").cast("date").alias("window_start"),
         F.col("window_end").cast("date").alias("window_end"),
         "fresh_count",
@@ -70,7 +96,7 @@ def _stream_windows(v):
     )
 
 
-SESSIONS = f"""
+SESSIONS = """
 WITH days AS (SELECT film_link, review_date, count(*) AS n FROM fx_reviews GROUP BY ALL),
 starts AS (SELECT *, CASE WHEN review_date <= lag(review_date) OVER (PARTITION BY film_link
     ORDER BY review_date) + 14 THEN 0 ELSE 1 END AS is_start FROM days),
@@ -85,13 +111,16 @@ runs AS (SELECT film_link, min(review_date) AS session_start,
 @query(
     "stream_sessions",
     ("fx_reviews",),
-    SESSIONS + f"SELECT * FROM runs WHERE session_end <= {LAST} - 1",
+    SESSIONS + "SELECT * FROM runs",
 )
 def _stream_sessions(v):
+    rows = dated_reviews(v)
+    folder, stream = landed(v, rows, "review_date", "sessions")
+    closed(v, folder, rows.schema)
     with session.setting(v.spark, session.LOCAL_SESSION_MERGE, "true"):
-        runs = stream_ops.activity_sessions(review_stream(v), "ts")
-        rows, _ = stream_ops.run_to_table(v.spark, runs, "sessions")
-    return v.spark.read.parquet(rows).select(
+        runs = stream_ops.activity_sessions(stream, "ts")
+        found, _ = stream_ops.run_to_table(v.spark, runs, "sessions")
+    return v.spark.read.parquet(found).where("film_link <> ''").select(
         "film_link",
         F.col("session_start").cast("date").alias("session_start"),
         F.col("session_end").cast("date").alias("session_end"),
@@ -125,32 +154,126 @@ def _stream_link(v):
       f.movie_title FROM gx_films f LEFT JOIN newest n ON f.film_link = n.film_link""",
 )
 def _stream_upsert(v):
+    """Four batches write the films they touch; the log is folded after the second."""
     base = session.fresh_path(v.spark, "upsert")
-    v.gap_films.select("film_link", "movie_title", "reviews_updated_on").write.parquet(f"{base}/0")
-    changes = review_stream(v).select("film_link", F.col("review_date").alias("reviews_updated_on"))
-    apply = stream_ops.snapshot_upsert(
-        v.spark, base, "film_link", F.col("reviews_updated_on"), ["reviews_updated_on"]
-    )
-    run = stream_ops.upsert_batches(changes, apply, f"{base}/state")
-    run.awaitTermination()
-    return v.spark.read.parquet(f"{base}/{run.lastProgress.batchId + 1}")
+    log = KeyedLog(v.spark, f"{base}/films", "film_link", ["reviews_updated_on"])
+    log.start(v.gap_films.select("film_link", "movie_title", "reviews_updated_on"))
+    rows = v.plain_reviews.select("film_link", F.col("review_date").alias("reviews_updated_on"))
+    _, stream = landed(v, rows, "reviews_updated_on", "upsert")
+
+    def apply(batch, number: int) -> None:
+        log.apply(batch, number, F.col("reviews_updated_on"))
+        if number == 1:
+            log.compact()
+
+    stream_ops.upsert_batches(stream, apply, f"{base}/state").awaitTermination()
+    return log.read()
 
 
 @query(
     "stream_lifecycle",
     ("fx_reviews",),
-    f"""WITH days AS (SELECT DISTINCT film_link, review_date AS day FROM fx_reviews
-      WHERE review_date + 1 <= {LAST} - 1),
+    """WITH days AS (SELECT DISTINCT film_link, review_date AS day FROM fx_reviews),
     around AS (SELECT *, lag(day) OVER (PARTITION BY film_link ORDER BY day) AS before,
       lead(day) OVER (PARTITION BY film_link ORDER BY day) AS later FROM days)
     SELECT film_link, 'opened' AS event, day AS event_day FROM around
     WHERE before IS NULL OR day - before > 14
     UNION ALL
     SELECT film_link, 'closed', CAST(day + 15 AS DATE) FROM around
-    WHERE later - day > 14 OR (later IS NULL AND day + 15 <= {LAST} - 1)""",
+    WHERE later - day > 14 OR later IS NULL""",
 )
 def _stream_lifecycle(v):
+    rows = dated_reviews(v)
+    folder, stream = landed(v, rows, "review_date", "lifecycle")
+    closed(v, folder, rows.schema)
     with session.setting(v.spark, session.STATE_STORE, lifecycle.STATE_PROVIDER):
-        events = lifecycle.window_events(lifecycle.review_days(review_stream(v), "ts"))
-        rows, _ = stream_ops.run_to_table(v.spark, events, "lifecycle")
-    return v.spark.read.parquet(rows)
+        events = lifecycle.window_events(lifecycle.review_days(stream, "ts"))
+        found, _ = stream_ops.run_to_table(v.spark, events, "lifecycle")
+    return v.spark.read.parquet(found).where("film_link <> ''")
+
+
+EVENT_KEYS = ["user_id", "event_type"]
+
+
+@query(
+    "stream_bursts",
+    (),
+    """WITH marked AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS is_first
+      FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(is_first) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS burst FROM marked)
+    SELECT user_id, event_type, min_by(event_id, (ts, event_id)) AS event_id, count(*) AS copies
+    FROM numbered GROUP BY user_id, event_type, burst""",
+)
+def _stream_bursts(v):
+    """Copies within six hours fall away; the run stops after every batch and goes on from
+    its checkpoint."""
+    rows = v.table("events").select("event_id", *EVENT_KEYS, F.col("ts").cast("timestamp").alias("ts"))
+    folder = session.fresh_path(v.spark, "bursts")
+    state, found = f"{folder}/state", f"{folder}/rows"
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    width = max(1.0, (last - first).total_seconds() / FILES)
+    seconds = F.unix_micros("ts") - F.unix_micros(F.lit(first))
+    part = F.least(F.floor(seconds / (1e6 * width)), F.lit(FILES - 1))
+    for i in range(FILES + 1):
+        if i < FILES:
+            rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+        else:
+            stream_ops.close_landing(v.spark, f"{folder}/landing", rows.schema, ts=stream_ops.CLOSING, event_type="")
+        stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", rows.schema, files=1)
+        bursts = stream_ops.first_of_bursts(stream, "ts", EVENT_KEYS, ["event_id"], "6 hours")
+        writer = bursts.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True)
+        writer.start(found).awaitTermination()
+    return v.spark.read.parquet(found).where("event_type <> ''").select(*EVENT_KEYS, "event_id", "copies")
+
+
+@query(
+    "stream_late_rows",
+    (),
+    """WITH parted AS (SELECT ts, event_id % 4 AS part FROM events),
+    landed AS (SELECT *, CASE WHEN part = 3 THEN 0 ELSE part + 1 END AS batch FROM parted),
+    tops AS (SELECT batch, max(ts) AS newest FROM landed GROUP BY batch)
+    SELECT CAST(l.batch AS BIGINT) AS batch, count(*) AS rows, count(*) FILTER (ts < (SELECT max(newest) FROM tops t
+        WHERE t.batch < l.batch) - INTERVAL 10 DAY) AS late FROM landed l GROUP BY l.batch""",
+)
+def _stream_late_rows(v):
+    """Files that each span the whole month, so most of a later file's rows are late."""
+    rows = v.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder = session.fresh_path(v.spark, "late")
+    stream_ops.land(rows, f"{folder}/landing", FILES, (F.col("event_id") + 1) % FILES)
+    stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", rows.schema, files=1)
+    stream_ops.late_split(stream, "ts", f"{folder}/split", f"{folder}/state", "10 days").awaitTermination()
+    return stream_ops.late_counts(v.spark, f"{folder}/split").select("batch", "rows", "late")
+
+
+@query(
+    "stream_link_index",
+    ("fx_articles", "gx_films"),
+    "WITH"
+    + TITLES
+    + """,
+    known AS (SELECT 1 AS half, lower(movie_title) AS k, film_link FROM gx_films UNION ALL
+      SELECT 0, lower(movie_title), film_link FROM gx_films WHERE film_id % 2 = 0),
+    idx AS (SELECT half, k, min(film_link) AS film_link FROM known WHERE k IS NOT NULL GROUP BY half, k),
+    asked AS (SELECT *, CASE WHEN article_id % 4 >= 2 THEN 1 ELSE 0 END AS half FROM titles WHERE film_title <> '')
+    SELECT CAST(article_id AS STRING) AS external_id, coalesce(a.film_link, b.film_link) AS film_link FROM asked t
+    LEFT JOIN idx a ON lower(film_title) = a.k AND a.half = t.half
+    LEFT JOIN idx b ON strpos(film_title, ':') > 0 AND lower(trim(string_split(film_title, ':')[1])) = b.k AND b.half = t.half
+    WHERE coalesce(a.film_link, b.film_link) IS NOT NULL""",
+)
+def _stream_link_index(v):
+    """The first half of the files is linked to the even films only, then the odd ones are
+    published: a film added between two batches links in the next."""
+    titled = v.articles.select(
+        text.headline_title(F.col("headline")).alias("film_title"), F.col("article_id"),
+    )
+    folder = session.fresh_path(v.spark, "linked")
+    films = v.gap_films.select("film_link", "movie_title", "film_id")
+    index = stream_ops.TitleIndex(v.spark, f"{folder}/index")
+    for half, known in enumerate((films.where("film_id % 2 = 0"), films)):
+        index.publish(known)
+        part = F.col("article_id") % FILES - 2 * half
+        stream_ops.land(titled, f"{folder}/landing", 2, part)
+        stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", titled.schema, files=1)
+        stream_ops.link_batches(stream, index, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    rows = v.spark.read.parquet(f"{folder}/rows")
+    return rows.select(F.col("article_id").cast("string").alias("external_id"), "film_link")

@@ -429,3 +429,30 @@ def _review_analysis(v):
         "agreement",
         "model",
     )
+
+
+@query(
+    "sentiment_store",
+    ("fx_reviews",),
+    model_sql.with_clause(
+        REVIEW_MODEL, model_sql.scores("scored", "texts", "model"),
+        model_sql.cte("known", """SELECT DISTINCT film_link, source, CASE WHEN film_id % 5 = 0 THEN NULL ELSE external_id END AS external_id,
+          review_content AS text FROM fx_reviews"""),
+        model_sql.cte("labelled", f"SELECT film_link, source, external_id, {model_sql.opinions()} FROM known JOIN scored ON key = md5(text)"),
+    )
+    + """SELECT film_link, source, external_id, fast_label, fast_c / 10000.0E0 AS fast_confidence, deep_label,
+      deep_c / 10000.0E0 AS deep_confidence FROM labelled""",
+)
+def _sentiment_store(v):
+    """The reviews before 2000, all of them, that run again, one with nothing new, a fold,
+    and the last run once more. One film in five has reviews without ids."""
+    models = review_models(v)
+    known = F.when(F.col("film_id") % 5 != 0, F.col("external_id"))
+    reviews = v.plain_reviews.withColumn("external_id", known)
+    log = classify.sentiment_log(v.spark, session.fresh_path(v.spark, "sentiments"))
+    classify.store_sentiment(log, reviews.where("review_date < '1995-01-01'"), models, 0)
+    for run in (1, 1, 2):
+        classify.store_sentiment(log, reviews, models, run)
+    log.compact()
+    classify.store_sentiment(log, reviews, models, 2)
+    return log.read().drop(classify.REVIEW_ID)

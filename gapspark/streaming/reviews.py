@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from gapspark import session
 from gapspark.functions import text
 from gapspark.operators import link, merge
+from gapspark.sources import folders
+from gapspark.sources.keyed_log import KeyedLog
 
 
 def event_time(c: Column) -> Column:
@@ -173,3 +175,145 @@ def late_rows(query: StreamingQuery) -> int:
         for progress in query.recentProgress
         for operator in progress.stateOperators
     )
+
+
+# --- streams that end complete -----------------------------------------------
+
+#: Event time of the closing mark: later than any watermark of real rows.
+CLOSING = "2999-12-31 00:00:00"
+
+
+def land(df: DataFrame, folder: str, parts: int, part: Column) -> None:
+    """Write a table as ``parts`` files, one after the other, for a stream to read in
+    that order; ``part`` gives a row's file, from 0."""
+    for i in range(parts):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+
+
+def close_landing(spark: SparkSession, folder: str, schema, **values) -> None:
+    """Add the closing mark to a landing folder: a row without content, late enough to
+    move the watermark past every window, session and timer that is still open. ``values``
+    name what the row holds besides (its event time among them)."""
+    fields = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*fields).coalesce(1).write.mode("append").parquet(folder)
+
+
+def keep_updates(
+    stream: DataFrame, log: KeyedLog, checkpoint: str, order: Column | None = None, files: int | None = None
+) -> StreamingQuery:
+    """Write what a stream in update mode changed into a keyed table, batch by batch.
+
+    The table holds every group at any time, also those the watermark has not closed.
+    """
+    def apply(batch: DataFrame, number: int) -> None:
+        log.apply(batch, number, order)
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def first_of_bursts(stream: DataFrame, ts: str, keys: list[str], order: list[str], delay: str = "1 day") -> DataFrame:
+    """The first row of every burst of copies: rows of a key with no pause as long as the
+    delay. A copy inside the delay falls away, one beyond it stays.
+
+    The row that stays is the first by event time and then by ``order``, whichever batch
+    or task saw it. A key is remembered until the watermark passes its last row by the
+    delay, over batches and restarts; copies are reduced in every task before the shuffle.
+    A row leaves once its burst is closed.
+    """
+    names = [c for c in stream.columns if c not in keys]
+    first = F.min_by(F.struct(*names), F.struct(ts, *order)).alias("_row")
+    bursts = stream.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, delay).alias("_span"))
+    return bursts.agg(first, F.count("*").alias("copies")).select(*keys, "_row.*", "copies")
+
+
+# --- late rows ---------------------------------------------------------------
+
+
+def late_split(
+    stream: DataFrame, ts: str, folder: str, checkpoint: str, delay: str = "1 day"
+) -> StreamingQuery:
+    """Part a stream into rows in time and late rows, and count both in a table.
+
+    A row is late when its event time is before the watermark its batch started with:
+    the greatest event time of the batches before, less the delay. Every batch writes
+    ``rows`` and ``counts`` under its number (a repeated batch writes the same), so the
+    counts are whole however many batches there were. Null event times are in time.
+    """
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        session_of_batch = batch.sparkSession
+        done = [n for n in folders.finished(spark, f"{folder}/counts", "batch") if n < number]
+        mark = F.lit(None).cast("timestamp")
+        if done:
+            counts = session_of_batch.read.parquet(*[f"{folder}/counts/batch={n}" for n in done])
+            newest = counts.agg(F.max("newest")).first()[0]
+            if newest is not None:
+                mark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col(ts) < mark, F.lit(False))
+        target = f"{folder}/rows/batch={number}"
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(target)
+        written = session_of_batch.read.schema(f"{ts} timestamp, late boolean").parquet(target)
+        counts = written.agg(F.count("*").alias("rows"), F.count_if("late").alias("late"), F.max(ts).alias("newest"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    return upsert_batches(stream, apply, checkpoint)
+
+
+def late_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, rows, late, newest) of every batch that ``late_split`` finished."""
+    found = folders.finished(spark, f"{folder}/counts", "batch")
+    parts = [spark.read.parquet(f"{folder}/counts/batch={n}").withColumn("batch", F.lit(n).cast("long")) for n in found]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("batch", "rows", "late", "newest")
+
+
+# --- linkage to a versioned title index --------------------------------------
+
+
+class TitleIndex:
+    """Titles and their films, stored in versions; a stream takes the newest per batch.
+
+    A version holds (title_key, film_link), the lowest film key of every title. It is
+    written once and read as often as there are batches.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def publish(self, films: DataFrame) -> int:
+        """Store a new version; batches that start from now on use it."""
+        number = (folders.finished(self.spark, self.folder, "version") or [-1])[-1] + 1
+        link.title_index(films).write.mode("overwrite").parquet(f"{self.folder}/version={number}")
+        return number
+
+    def newest(self) -> DataFrame:
+        number = folders.finished(self.spark, self.folder, "version")[-1]
+        return self.spark.read.parquet(f"{self.folder}/version={number}")
+
+
+def link_by_index(articles: DataFrame, index: DataFrame, title: str = "film_title") -> DataFrame:
+    """Articles with the film their title names, by one join; others are dropped.
+
+    Distinct titles ask with two keys, the full title and the part before its colon; the
+    answers of both come from the same join and the full title's wins.
+    """
+    asked = articles.where(F.col(title) != "").select(F.col(title).alias("_title")).distinct()
+    keys = F.filter(F.array(F.lower("_title"), F.lower(text.main_title(F.col("_title")))), lambda k: k.isNotNull())
+    unpivoted = asked.select("_title", F.posexplode(keys).alias("_place", "title_key"))
+    found = unpivoted.join(index, "title_key").groupBy("_title").agg(F.min_by("film_link", "_place").alias("film_link"))
+    return articles.join(found, F.col(title) == F.col("_title")).drop("_title")
+
+
+def link_batches(
+    articles: DataFrame, index: TitleIndex, folder: str, checkpoint: str, title: str = "film_title"
+) -> StreamingQuery:
+    """Link a stream batch by batch to the newest index; rows go to a folder per batch."""
+    def apply(batch: DataFrame, number: int) -> None:
+        linked = link_by_index(batch, index.newest(), title)
+        linked.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return upsert_batches(articles, apply, checkpoint)
