@@ -45,7 +45,8 @@ PLAIN_WORDS = re.compile(
 #: Furniture of many items: an article in it is one of them, not the page's.
 ITEM_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|disqus|recommend\w*|related|replies|reply|respond|sponsor\w*|teaser|promo\w*|ads?|advert\w*)(?:$|[^a-z])")
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[^a-z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -79,6 +80,115 @@ def of_attributes(tag: str, text: str) -> tuple[int, bool, bool]:
     return furniture, bool(CONTENT_WORDS.search(joined)), hidden
 
 
+class Scanner:
+    """Tags of a page in one forward scan, each place of the page read a bounded number of
+    times: what is known to be missing in the rest is not looked for again."""
+
+    def __init__(self, html: str):
+        self.html, self.size = html, len(html)
+        self.missing: dict[str, bool] = {}
+        self.quotes = True
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of a string; the page's end when there is none."""
+        if self.missing.get(what):
+            return self.size
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing[what] = True
+            return self.size
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, outside of quoted values. Once a tag is
+        never closed that way, quotes say nothing in the rest of the page."""
+        if self.quotes:
+            place = at
+            while m := TAG_MARK.search(self.html, place):
+                if m[0] == ">":
+                    return m.start()
+                place = self.find(m[0], m.end()) + 1
+            self.quotes = False
+        return self.find(">", at)
+
+    def tokens(self):
+        """Text as (None, text, ""), tags as (slash, name, attributes), in page order."""
+        html, at = self.html, 0
+        while at < self.size:
+            start = self.find("<", at)
+            if start > at:
+                yield None, html[at:start], ""
+            if start == self.size:
+                return
+            if html.startswith("<!--", start):
+                at = self.find("-->", start) + 3
+            elif html.startswith("<![CDATA[", start):
+                end = self.find("]]>", start)
+                yield None, html[start + 9 : end].replace("&", "&amp;"), ""
+                at = end + 3
+            elif html.startswith(("<!", "<?"), start):
+                at = self.find(">", start) + 1
+            elif m := TAG_START.match(html, start):
+                end = self.tag_end(m.end())
+                if end == self.size:
+                    # no tag ends in the rest of the page
+                    yield None, html[start:], ""
+                    return
+                at = end + 1
+                name = m[2].lower()
+                yield m[1], name, html[m.end() : end]
+                if name in RAW_TAGS and not m[1]:
+                    at = self._raw_end(name, at)
+            else:
+                yield None, "<", ""
+                at = start + 1
+
+    def _raw_end(self, name: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup."""
+        if self.missing.get(name):
+            return self.size
+        end = re.compile(rf"</{name}\s*>", re.I).search(self.html, at)
+        if end is None:
+            self.missing[name] = True
+            return self.size
+        return end.end()
+
+
+class Open:
+    """The open elements, and where each kind of them and the blocks stand."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, entry: tuple) -> None:
+        tag, at = entry[0], len(self.stack)
+        self.stack.append(entry)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close everything from a place on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    @property
+    def links(self) -> int:
+        return len(self.places.get("a", ()))
+
+
 class Block:
     __slots__ = ("article", "content", "furniture", "heading", "links", "text", "words")
 
@@ -92,15 +202,15 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    # open elements: tag, and the state they give
-    stack: list[tuple] = []
+    opened = Open()
     # of the innermost element: inherited furniture, content, hidden, article, furniture by
-    # a name, number of the form, number of the article that a name's furniture holds
-    outside = (False, False, False, False, 0, 0, 0)
+    # a name, numbers of the form, of the article that a name's furniture holds, and of the
+    # outermost element that a name makes furniture
+    outside = (False, False, False, False, 0, 0, 0, 0)
     state = outside
-    link = forms = holders = 0
+    forms = holders = regions = 0
     #: By block: what the page as a whole decides.
-    open_points: list[tuple[int, int]] = []
+    open_points: list[tuple] = []
     page_forms: set[int] = set()
 
     def close_block() -> None:
@@ -108,67 +218,54 @@ def blocks_of(html: str) -> list[Block]:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 links = len(unescape("".join(link_parts)).split()) if link_parts else 0
-                heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
+                heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in opened.stack[-3:])
                 out.append(Block(text, len(text.split()), links, state[3], state[1], state[0] or state[4] > 0, heading))
-                open_points.append(state[5:])
+                # only a name makes it furniture, and none of many items
+                open_points.append((*state[5:], not state[0] and state[4] == 1))
             parts.clear()
             link_parts.clear()
 
     def add(text: str) -> None:
         if text and not state[2]:
             parts.append(text)
-            if link:
+            if opened.links:
                 link_parts.append(text + " ")
 
-    at, size = 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            add(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        tag = (m[2] or "").lower()
-        if not tag:
+    def now() -> tuple:
+        return opened.stack[-1][1:] if opened.stack else outside
+
+    for slash, tag, attributes in Scanner(html).tokens():
+        if slash is None:
+            add(tag)
             continue
-        if m[1]:
+        if slash:
             if tag in BLOCK_TAGS:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                # a stray end tag of an inline element does not close blocks around it
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break
-            link = sum(s[0] == "a" for s in stack)
-            state = stack[-1][1:] if stack else outside
+            at = opened.last(tag)
+            # a stray end tag of an inline element does not close blocks around it
+            if at >= 0 and (tag in BLOCK_TAGS or at > opened.last_block()):
+                opened.cut(at)
+            state = now()
             continue
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCK_TAGS:
             close_block()
-            ends = SELF_CLOSING.get(tag)
-            if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK_TAGS:
-                        break
-                link = sum(s[0] == "a" for s in stack)
-                state = stack[-1][1:] if stack else outside
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS and tag != "a":
+            at = max((opened.last(t) for t in SELF_CLOSING.get(tag, ())), default=-1)
+            if at >= 0 and at >= opened.last_block():
+                opened.cut(at)
+                state = now()
+        if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS and tag != "a":
             continue
-        furniture, content, hidden = of_attributes(tag, m[3])
+        if tag in RAW_TAGS:
+            if tag == "title":
+                close_block()
+            continue
+        furniture, content, hidden = of_attributes(tag, attributes)
         article = state[3] or tag == "article"
         header = tag == "header" and not state[3]
-        named, form, holder = state[4:]
+        named, form, holder, region = state[4:]
         if tag in ("main", "article") and not furniture and not state[3]:
             # the page's matter, whatever the elements around it are called
             if named < 2 or tag == "main":
@@ -179,53 +276,62 @@ def blocks_of(html: str) -> list[Block]:
                 named = 0
         # a page's outermost elements are the page, whatever they are called
         elif tag not in ("body", "html", "article", "main"):
+            if furniture and not named:
+                regions += 1
+                region = regions
             named = max(named, furniture)
         if tag == "form" and not form:
             forms += 1
             form = forms
         state = (
             state[0] or tag in FURNITURE_TAGS and tag != "form" or header,
-            state[1] or content or tag == "main", state[2] or hidden or tag in HIDDEN_TAGS, article, named, form, holder,
+            state[1] or content or tag == "main", state[2] or hidden or tag in HIDDEN_TAGS, article, named, form, holder, region,
         )
-        stack.append((tag, *state))
-        link += tag == "a"
-        if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            close_block() if tag == "title" else None
-            at = end.end() if end else size
-            stack.pop()
-            state = stack[-1][1:] if stack else outside
+        opened.push((tag, *state))
     close_block()
     settle(out, open_points, page_forms)
     return out
 
 
-def settle(blocks: list[Block], points: list[tuple[int, int]], page_forms: set[int]) -> None:
+#: Words of a block that can be a page's matter by itself.
+MATTER = 10
+
+
+def settle(blocks: list[Block], points: list[tuple], page_forms: set[int]) -> None:
     """Forms are furniture unless they are the page: hold its article, or half of its words.
-    An article inside furniture by name is the page's when none outside is longer."""
-    in_form, in_holder, outside = Counter(), Counter(), 0
-    for b, (form, holder) in zip(blocks, points, strict=True):
+    An article inside furniture by name is the page's when none outside is longer. An
+    element that only its name makes furniture is the page's matter when it holds half of
+    the words and no block outside of furniture is in an article or long enough to be one."""
+    in_form, in_holder, in_region, outside = Counter(), Counter(), Counter(), 0
+    for b, (form, holder, region, _) in zip(blocks, points, strict=True):
         in_form[form] += b.words
         in_holder[holder] += b.words
+        in_region[region] += b.words
         outside += b.words if b.article and not b.furniture and not holder else 0
     total = sum(b.words for b in blocks)
-    for b, (form, holder) in zip(blocks, points, strict=True):
+    other = any(not b.furniture and (b.words >= MATTER or b.article or b.content) for b in blocks)
+    for b, (form, holder, region, by_name) in zip(blocks, points, strict=True):
+        if by_name and not other and 2 * in_region[region] >= total:
+            b.furniture = False
         b.furniture |= bool(form) and form not in page_forms and 2 * in_form[form] < total
         b.furniture |= bool(holder) and in_holder[holder] < outside
 
 
 NAMES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "article", "furniture", "content", "heading", "page_has_article",
+    "article", "furniture", "content", "heading", "matter", "page_has_matter",
 )
 
 
 def features(blocks: list[Block]) -> list[list[float]]:
-    page = float(any(b.article and not b.furniture for b in blocks))
+    """``matter``: inside an article, a main element or one whose name says content."""
+    matter = [float(b.article or b.content) for b in blocks]
+    page = float(any(m and not b.furniture for m, b in zip(matter, blocks, strict=True)))
     density = [min(1.0, b.links / b.words) if b.words else 0.0 for b in blocks]
     out = []
     for i, b in enumerate(blocks):
         before = (float(blocks[i - 1].words), density[i - 1]) if i else (0.0, 0.0)
         after = (float(blocks[i + 1].words), density[i + 1]) if i + 1 < len(blocks) else (0.0, 0.0)
-        out.append([float(b.words), density[i], *before, *after, float(b.article), float(b.furniture), float(b.content), float(b.heading), page])
+        says = (float(b.article), float(b.furniture), float(b.content), float(b.heading), matter[i], page)
+        out.append([float(b.words), density[i], *before, *after, *says])
     return out

@@ -1,7 +1,9 @@
 """HTML extraction and WARC archives."""
 
 import hashlib
+import time
 
+import numpy as np
 import pytest
 
 from gapspark.llm import html_extract, warc
@@ -51,9 +53,39 @@ def test_items_in_furniture_are_no_articles():
         assert html_extract.main_text(page) == text
 
 
-def test_the_tree_knows_its_labels():
-    x, y = html_extract.labelled_table()
-    assert all((html_extract.judge(html_extract.tree(), r) >= 0.5) == label for r, label in zip(x.tolist(), y, strict=True))
+def test_blocks_of_pages_the_tree_has_not_seen():
+    x, y = html_extract.labelled_table(html_extract.labelled_pages(seed=2, count=300))
+    right = np.array([html_extract.judge(html_extract.tree(), r) >= 0.5 for r in x.tolist()]) == y
+    assert len(y) > 2000 and right.mean() > 0.96
+
+
+def words(n, start=0):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+@pytest.mark.parametrize("page, kept", [
+    (f"<nav><a>home</a></nav><article><p>{words(12)}</p></article>", [words(12)]),
+    (f"<article><h1>Head line</h1><p>{words(40)}</p></article>", ["Head line", words(40)]),
+    (f"<article><p>{words(10)}</p><p>{words(40, 20)}</p></article>", [words(10), words(40, 20)]),
+    (f"<p>{words(10)}</p><p>{words(40, 20)}</p>", [words(10), words(40, 20)]),
+    (f"<h1>Head line</h1><p>{words(60)}</p>", ["Head line", words(60)]),
+    (f"<article><p>{words(14)}</p><p>Done.</p></article>", [words(14), "Done."]),
+    (f"<body><div class='search'><p>{words(60)}</p></div></body>", [words(60)]),
+    (f"<body><div class='search'><p>{words(60)}</p></div><article><p>{words(9)}</p></article></body>", [words(9)]),
+])
+def test_ordinary_pages_without_a_footer(page, kept):
+    assert html_extract.main_text(page) == "\n\n".join(kept)
+
+
+@pytest.mark.parametrize("part, n", [
+    ('<a href="x ', 200_000), ("<b>", 200_000), ("</i>", 200_000), ("<i><b></i>", 100_000), ("<i><div><b></i>", 100_000), ("<!x", 200_000),
+    ("<p>some words", 60_000), ("<script>", 100_000), ("<a href='x >", 100_000), ("<", 300_000), ("x" * 100, 30_000),
+])
+def test_long_broken_pages_take_time_in_proportion(part, n):
+    began = time.perf_counter()
+    html_extract.main_text("<article><p>start</p>" + part * n)
+    html_extract.main_text("<a" + part.replace(">", "") * n)
+    assert time.perf_counter() - began < 15
 
 
 def test_extract_rows(spark):
