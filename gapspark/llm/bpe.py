@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks kept with their result in one worker.
-MEMO_SIZE = 800_000
+#: Bytes a worker's store of results may take, and those of an entry besides its text.
+MEMO_BYTES = 160_000_000
+ENTRY_BYTES = 190
 NONE = np.iinfo(np.int32).max
 
 
@@ -116,12 +117,16 @@ class Merges:
 class Memo(dict):
     """Results by chunk; when it is full, new results are used once and not kept."""
 
+    held = 0
+
     def lookup(self, chunks: list[list], compute) -> list[list]:
         """The result of every chunk, list by list; ``compute`` gets the new ones."""
         new = list(dict.fromkeys([c for words in chunks for c in words if c not in self]))
         made = dict(zip(new, compute(new), strict=True)) if new else {}
-        if len(self) + len(made) <= MEMO_SIZE:
+        more = 2 * sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self.held + more <= MEMO_BYTES:
             self.update(made)
+            self.held += more
             made = {}
         get = self.__getitem__
         if not made:

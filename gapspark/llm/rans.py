@@ -66,13 +66,24 @@ def shape(n: int) -> tuple[int, int, int]:
     return -(-rows // steps), steps, check
 
 
+def distinct(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct symbols, each place's index into them, counts; without a sort for ids of a vocabulary."""
+    if int(data.max()) >= 4 * len(data) + (1 << BITS):
+        return np.unique(data, return_inverse=True, return_counts=True)
+    counts = np.bincount(data)
+    symbols = np.flatnonzero(counts)
+    index_of = np.zeros(len(counts), dtype=np.int32)
+    index_of[symbols] = np.arange(len(symbols))
+    return symbols, index_of[data], counts[symbols]
+
+
 def encode(data: np.ndarray) -> Encoded:
     """Encode a non-empty array of unsigned 32-bit symbols."""
-    symbols, index, counts = np.unique(data, return_inverse=True, return_counts=True)
+    symbols, index, counts = distinct(data)
     freq = quantise(counts)
     first = np.concatenate([[0], np.cumsum(freq)[:-1]])
     blocks, steps, check = shape(len(data))
-    grid = np.full(blocks * steps * LANES, int(np.argmax(freq)), dtype=np.int64)
+    grid = np.full(blocks * steps * LANES, int(np.argmax(freq)), dtype=np.int32)
     grid[: len(data)] = index
     grid = grid.reshape(blocks, steps, LANES)
     f64, c64 = freq.astype(np.uint64), first.astype(np.uint64)
@@ -86,7 +97,7 @@ def encode(data: np.ndarray) -> Encoded:
         full = x >= limit[s]
         where = np.nonzero(full)
         out.append(x[where].astype(np.uint32))
-        owners.append(where[0])
+        owners.append(where[0].astype(np.uint16) if blocks < 1 << 16 else where[0])
         emitted[t] = full.sum(axis=1)
         x = np.where(full, x >> WORD, x)
         f = f64[s]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gapspark.llm import bpe, rans
+from gapspark.llm import rans
+from gapspark.llm.chunk_store import store
 from gapspark.llm.common import open_fs, stored, write_file
 from gapspark.llm.token_counts import groups
 from gapspark.session import fresh_path
@@ -21,44 +21,20 @@ from gapspark.session import fresh_path
 FILE_IDS = 3_000_000
 #: Files that one reading task decodes, one after the other.
 FILES_PER_TASK = 4
+#: Reading tasks at most; beyond that each decodes more files.
+MOST_TASKS = 20_000
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
 
 
-@lru_cache(maxsize=2)
-def engine(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
-    return tokenizer, specials, bpe.Memo()
-
-
-def encode_texts(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers.
+def encode_texts(texts: list[str], path: str, end_id: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Group by group the ids of the texts end to end, and how many each text has.
 
     Each new chunk goes through the library once; no pre-token crosses a chunk, so
     the chunks' ids end to end are the text's ids.
     """
-    tokenizer, specials, memo = engine(path)
-    if len(specials) > 1:
-        raise ValueError("one special string at most")
-
-    def compute(chunks: list[str]) -> list[bytes]:
-        got = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    for special_id in specials.values():
-        memo[None] = np.array([special_id], dtype="<u4").tobytes()
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
-    out = []
+    kept = store(path, end_id)
     for group in groups(texts):
-        for parts in memo.lookup(list(bpe.chunks_of(group, list(specials))), compute):
-            parts.append(end)
-            out.append(b"".join(parts))
-    return out
+        yield kept.texts(group)
 
 
 def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -81,32 +57,42 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        buffer: list[tuple[int | None, bytes]] = []
+        keys: list[int | None] = []
+        lengths: list[int] = []
+        parts: list[np.ndarray] = []
         size = seq = 0
         done = []
 
         def flush():
             nonlocal seq, size
-            if not buffer:
+            if not keys:
                 return
-            ids = np.frombuffer(b"".join(b for _, b in buffer), dtype="<u4")
-            keys = np.array([0 if k is None else k for k, _ in buffer], dtype="<i8")
-            nulls = np.array([k is None for k, _ in buffer], dtype="u1")
-            sizes = np.array([len(b) // 4 for _, b in buffer], dtype="<i8")
+            ids = np.concatenate(parts)
             coded = rans.encode(ids) if len(ids) else empty()
-            name = write_file(folder, f"ids-{part:06d}-{seq:04d}", rans.dump(coded, {"keys": keys, "nulls": nulls, "lengths": sizes}))
-            done.append((part, seq, name, len(buffer), len(ids)))
-            buffer.clear()
+            extra = {
+                "keys": np.array([0 if k is None else k for k in keys], dtype="<i8"),
+                "nulls": np.array([k is None for k in keys], dtype="u1"),
+                "lengths": np.array(lengths, dtype="<i8"),
+            }
+            name = write_file(folder, f"ids-{part:06d}-{seq:04d}", rans.dump(coded, extra))
+            done.append((part, seq, name, len(keys), len(ids)))
+            for held in (keys, lengths, parts):
+                held.clear()
             seq, size = seq + 1, 0
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                for k, ids in zip(keys[at : at + 500], encode_texts(texts[at : at + 500], tokenizer, end_id), strict=True):
-                    buffer.append((k, ids))
-                    size += len(ids) // 4
+            own = iter(batch.column(0).to_pylist())
+            for ids, sizes in encode_texts(batch.column(1).to_pylist(), tokenizer, end_id):
+                begin = end = 0
+                for n in sizes.tolist():
+                    keys.append(next(own))
+                    lengths.append(n)
+                    size, end = size + n, end + n
                     if size >= FILE_IDS:
+                        parts.append(ids[begin:end])
+                        begin = end
                         flush()
+                parts.append(ids[begin:])
         flush()
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
@@ -137,13 +123,17 @@ def read_file(folder: str, name: str):
 def read_ids(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     """Read the files a manifest lists: key, start, n_ids, crc32 and, if asked, ids.
 
-    ``start`` is the number of ids of all documents before. Only one row per file is
-    summed over the whole table; files are decoded side by side.
+    ``start`` is the number of ids of all documents before. Only one row per writing
+    task is summed over the whole table; files are decoded side by side.
     """
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
+    # one row per writing task is summed in order, then the files of each task apart
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
+    own = Window.partitionBy("part").orderBy("seq")
+    base = F.col("part_base") + F.sum("n_ids").over(own) - F.col("n_ids")
+    files = manifest.join(parts, "part").select("file", base.cast("long").alias("base"))
     # a partition to a few files; a plain exchange would be coalesced by its few bytes
-    files = files.select("file", "base").repartition(-(-manifest.count() // FILES_PER_TASK) or 1)
+    files = files.repartition(min(MOST_TASKS, -(-manifest.count() // FILES_PER_TASK) or 1))
     schema = "key long, start long, n_ids long, crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gapspark.llm import bpe, rans, token_counts, token_files
+from gapspark.llm import bpe, chunk_store, rans, token_counts, token_files
 from gapspark.llm.common import table
 from gapspark.session import fresh_path
 
@@ -92,3 +92,25 @@ def test_empty_table_gives_no_file(spark, none):
     where = fresh_path(spark, "ids")
     manifest = token_files.write_ids(none, where, PATH)
     assert manifest.count() == 0 and token_files.read_ids(manifest, where).count() == 0
+
+
+def test_a_full_store_keeps_nothing_and_gives_the_same_ids(monkeypatch):
+    texts = TEXTS + ["a b  c\n d " * 40 + "<|endoftext|>", "word " * 9, " " * 70 + "y" * 90, "", "word a b"] * 3
+    want = [[*ids, 2] for ids in library(texts)]
+    for room in (0, 2_000, 10**9):
+        monkeypatch.setattr(chunk_store, "STORE_BYTES", room)
+        store = chunk_store.ChunkStore(PATH, 2)
+        for _ in range(2):
+            ids, sizes = store.texts(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        assert room or len(store) == 2
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 0)
+    memo = bpe.Memo()
+    assert memo.lookup([["a", "bb"], ["a"]], lambda new: [len(c) for c in new]) == [[1, 2], [1]] and not memo
+
+
+def test_distinct_symbols_without_a_sort():
+    for data in ([0, 0, 7, 3], [2**32 - 1, 5, 5]):
+        got = rans.distinct(np.array(data, dtype=np.uint32))
+        for a, b in zip(got, np.unique(data, return_inverse=True, return_counts=True), strict=True):
+            assert a.tolist() == b.tolist()
