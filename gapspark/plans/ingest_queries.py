@@ -15,16 +15,21 @@ from gapspark.plans.fixtures import ASOF
 from gapspark.plans.merge_queries import PAYLOADS, answers
 from gapspark.plans.registry import query
 from gapspark.session import fresh_path
-from gapspark.sources import csv_files, documents
+from gapspark.sources import csv_files, csv_ranges, documents
 from gapspark.sources.run_log import RunLog
 
 
-def through_csv(v, raw, multiline=False):
-    """The rows as CSV files below the shared folder, read again as the readers do."""
+def as_csv(v, raw):
+    """The rows as CSV files in a new folder below the shared one."""
     path = fresh_path(v.spark, "raw-csv")
     writer = raw.write.option("header", True).option("quote", '"').option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return csv_files.read_csv(v.spark, path, multiline)
+    return path
+
+
+def through_csv(v, raw, multiline=False):
+    """The rows as CSV files, read again as the readers do."""
+    return csv_files.read_csv(v.spark, as_csv(v, raw), multiline)
 
 
 def through_json(v, docs, schema):
@@ -94,22 +99,33 @@ def _review_csv_ingest(v):
     return csv_files.clean_reviews(through_csv(v, raw)).drop("review_score")
 
 
-@query(
-    "labelled_corpus",
-    (),
-    """SELECT doc_id, length(text) AS chars,
+LABELLED_CORPUS = """SELECT doc_id, length(text) AS chars,
       CASE WHEN quality = 1 THEN 1.0E0 ELSE 0.0E0 END AS label
-    FROM documents JOIN labels USING (doc_id)""",
-)
-def _labelled_corpus(v):
+    FROM documents JOIN labels USING (doc_id)"""
+
+
+def rated_raw(v):
     rated = v.table("documents").join(v.table("labels"), "doc_id")
     mood = F.when(F.col("quality") == 1, " Positive").otherwise("negative ")
-    raw = rated.select("doc_id", F.col("text").alias("review"), mood.alias("sentiment"))
-    return csv_files.clean_corpus(through_csv(v, raw, multiline=True)).select(
+    return rated.select("doc_id", F.col("text").alias("review"), mood.alias("sentiment"))
+
+
+def corpus_lengths(raw):
+    return csv_files.clean_corpus(raw).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"), "label"
     )
 
 
+@query("labelled_corpus", (), LABELLED_CORPUS)
+def _labelled_corpus(v):
+    return corpus_lengths(through_csv(v, rated_raw(v), multiline=True))
+
+
+@query("labelled_corpus_ranges", (), LABELLED_CORPUS)
+def _labelled_corpus_ranges(v):
+    return corpus_lengths(csv_ranges.read_csv_ranges(v.spark, as_csv(v, rated_raw(v))))
+
+
 def discovery_docs(v):
     """Discovery documents over parts: votes, popularity and dates vary."""
     key = F.col("film_id")

@@ -17,7 +17,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     """Header CSV with every column as STRING.
 
     Large files are split. Quoted line breaks need ``multiline``, which makes one file
-    one task; convert such a file to Parquet once.
+    one task; ``csv_ranges.read_csv_ranges`` splits such files too.
     """
     return (
         spark.read.option("header", True)
