@@ -91,3 +91,36 @@ def review_load_stats(
         ),
         F.count("*").alias("films_with_reviews"),
     )
+
+
+def review_sketches(reviews: DataFrame, by: str = "month", lg_k: int = 12) -> DataFrame:
+    """Per source and ``by``: number of reviews and a sketch of their films.
+
+    Rows of disjoint inputs add up: store them and append those of new reviews instead
+    of counting again. A sketch has at most 2**lg_k bytes, however many films it saw.
+    """
+    return reviews.groupBy("source", by).agg(
+        F.count("*").alias("reviews"), F.hll_sketch_agg("film_link", lg_k).alias("films")
+    )
+
+
+def sketch_error(lg_k: int = 12) -> float:
+    """Three standard errors of a merged sketch, as a share of the true number."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)
+
+
+def sketched_load_stats(
+    sketches: DataFrame, since, sources: tuple[str, ...] = ("guardian", "nyt"), by: str = "month"
+) -> DataFrame:
+    """The load statistics from stored sketches: counts exact, films estimated.
+
+    ``since`` is the first value of ``by`` that counts. Reads the sketches only. An empty
+    table and sources without rows give 0.
+    """
+    recent = sketches.where((F.col(by) >= since) & F.col("source").isin(*sources))
+    counts = (
+        F.coalesce(F.sum(F.when(F.col("source") == s, F.col("reviews"))), F.lit(0)).cast("bigint").alias(f"{s}_reviews")
+        for s in sources
+    )
+    films = F.hll_sketch_estimate(F.hll_union_agg("films"))
+    return recent.agg(*counts, F.coalesce(films, F.lit(0)).cast("bigint").alias("films_with_reviews"))

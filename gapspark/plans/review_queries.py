@@ -6,6 +6,8 @@ from gapspark import fixed
 from gapspark.operators import explain, reviews, trend
 from gapspark.plans.fixtures import ASOF
 from gapspark.plans.registry import query
+from gapspark.session import fresh_path
+from gapspark.sources.run_log import RunLog
 
 NEWEST = "review_date DESC NULLS LAST, source, external_id"
 
@@ -104,6 +106,34 @@ def _review_load_stats(v):
     return reviews.review_load_stats(v.plain_reviews, "2000-10-01", ("src_a", "src_b"))
 
 
+@query(
+    "review_load_sketches",
+    ("fx_reviews",),
+    """WITH exact AS (SELECT count(*) FILTER (source = 'src_a') AS src_a_reviews,
+      count(*) FILTER (source = 'src_b') AS src_b_reviews,
+      count(DISTINCT film_link) AS films_with_reviews
+    FROM fx_reviews WHERE review_date >= DATE '2000-10-01' AND source IN ('src_a', 'src_b'))
+    SELECT 'src_a_reviews' AS measure, src_a_reviews AS exact, true AS same FROM exact
+    UNION ALL SELECT 'src_b_reviews', src_b_reviews, true FROM exact
+    UNION ALL SELECT 'films_with_reviews', films_with_reviews, true FROM exact""",
+)
+def _review_load_sketches(v):
+    """Months are sketched once, in two runs; the merged sketches stand beside exact counts."""
+    sources, names = ("src_a", "src_b"), ("src_a_reviews", "src_b_reviews", "films_with_reviews")
+    landing = v.plain_reviews.select("film_link", "source", "review_date", F.date_format("review_date", "yyyy-MM").alias("month"))
+    runs = RunLog(v.spark, fresh_path(v.spark, "sketch-runs"), "month")
+    runs.run(landing, reviews.review_sketches, upto="2001-01")
+    runs.run(landing, reviews.review_sketches)
+    told = reviews.sketched_load_stats(runs.rows(), "2000-10", sources)
+    exact = reviews.review_load_stats(v.plain_reviews, "2000-10-01", sources)
+    both = exact.withColumn("kind", F.lit("exact")).unionByName(told.withColumn("kind", F.lit("told")))
+    long = both.unpivot("kind", list(names), "measure", "n")
+    value = {k: F.max(F.when(F.col("kind") == k, F.col("n"))) for k in ("exact", "told")}
+    error = F.when(F.col("measure") == "films_with_reviews", reviews.sketch_error()).otherwise(0)
+    per = long.groupBy("measure").agg(value["exact"].alias("exact"), value["told"].alias("told"))
+    return per.select("measure", "exact", (F.abs(F.col("told") - F.col("exact")) <= error * F.col("exact")).alias("same"))
+
+
 MONTHLY = """
 WITH monthly AS (
   SELECT film_link, CAST(date_trunc('month', review_date) AS DATE) AS month,

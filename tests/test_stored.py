@@ -6,7 +6,7 @@ import pytest
 from frames import values
 from pyspark.sql import functions as F
 
-from gapspark.operators import classify, linear
+from gapspark.operators import classify, linear, reviews
 from gapspark.plans.fixtures import PHRASES
 from gapspark.sources import folders
 from gapspark.sources.keyed_log import KeyedLog
@@ -198,3 +198,16 @@ def test_index_is_swapped_between_batches_and_joined_once(spark, tmp_path, capsy
     shown = capsys.readouterr().out
     # one join with the index; the other brings the answers back to the articles
     assert shown.count("ReadSchema: struct<title_key:string,film_link:string>") == 1
+
+
+def test_sketches_of_disjoint_parts_merge_within_their_error(spark):
+    rows = spark.range(60_000).selectExpr(
+        "concat('m/', id * 7 % 20000) AS film_link", "if(id % 3 = 0, 'a', 'b') AS source", "date_format(date_add(DATE'2020-01-01', int(id % 300)), 'yyyy-MM') AS month")
+    rows = rows.unionByName(spark.createDataFrame([(None, "a", "2020-05"), ("m/1", None, "2020-05"), ("m/2", "a", None)], "film_link string, source string, month string"))
+    parts = [reviews.review_sketches(rows.where(x)) for x in ("month < '2020-04'", "month >= '2020-04' OR month IS NULL")]
+    got = values(reviews.sketched_load_stats(parts[0].unionByName(parts[1]), "2020-03", ("a", "b", "c")))[0]
+    recent = rows.where("month >= '2020-03' AND source IN ('a', 'b')")
+    films = recent.select("film_link").where("film_link IS NOT NULL").distinct().count()
+    assert got[:3] == (recent.where("source = 'a'").count(), recent.where("source = 'b'").count(), 0)
+    assert films > 10_000 and abs(got[3] - films) <= reviews.sketch_error() * films
+    assert values(reviews.sketched_load_stats(parts[0].limit(0), "2020-03", ("a",))) == [(0, 0)]
