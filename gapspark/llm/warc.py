@@ -29,6 +29,10 @@ RANGE_BYTES = 8_000_000
 LEAST_REVISIT = 100
 VERSION = b"WARC/1.0\r\n"
 HEADER_LIMIT = 65_536
+#: Longer URLs do not stand in the record's header but in a metadata record before it.
+URL_LIMIT = 32_768
+#: Reading tasks at most; beyond that each reads more ranges.
+MOST_TASKS = 50_000
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -75,7 +79,8 @@ def write_archives(
     Of rows with equal payloads of at least ``least`` bytes the one with the smallest key
     is a response, the others are revisit records that name it and hold no payload.
     Rows that share that smallest key are all responses; a row without a key always is
-    one. Null payloads are empty. Payloads are not shuffled while the table of revisits
+    one. Null payloads are empty. A URL of more than ``URL_LIMIT`` bytes is the payload of
+    a metadata record before the page's, of any length. Payloads are not shuffled while the table of revisits
     is small enough for the planner to broadcast, and go through one join beyond it.
     """
     rows = digests(df, key, html, url)
@@ -102,18 +107,23 @@ def write_archives(
 
         for batch in batches:
             for row in batch.to_pylist():
-                fields = [("WARC-Record-ID", record_id())]
-                if row["url"]:
-                    fields.append(("WARC-Target-URI", header_value(row["url"])))
+                own_id, made = record_id(), b""
+                fields = [("WARC-Record-ID", own_id)]
+                uri = header_value(row["url"])
+                if len(uri.encode("utf-8")) > URL_LIMIT:
+                    told = [("WARC-Record-ID", record_id()), ("WARC-Concurrent-To", own_id), ("Content-Type", "text/uri-list")]
+                    made = record("metadata", told, uri.encode("utf-8"))
+                elif uri:
+                    fields.append(("WARC-Target-URI", uri))
                 if row["key"] is not None:
                     fields.append(("X-Page-ID", str(row["key"])))
                 fields += [("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("X-Payload-Length", str(row["size"]))]
                 if row["refers_to"] is None:
-                    made = record("response", fields, row["payload"])
+                    made += record("response", fields, row["payload"])
                 else:
                     fields.append(("X-Refers-To-Page", str(row["refers_to"])))
                     fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))
-                    made = record("revisit", fields, b"")
+                    made += record("revisit", fields, b"")
                 parts.append(made)
                 size += len(made)
                 if size >= FILE_BYTES:
@@ -183,7 +193,7 @@ def ranges(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     )
     cut = cut.select("file", "first", F.least(F.col("first") + step, F.col("size")).alias("last"), "size")
     cut = stored(cut, "warc-ranges")
-    return cut.repartition(max(1, cut.count()), "file", "first")
+    return cut.repartition(min(MOST_TASKS, max(1, cut.count())), "file", "first")
 
 
 def read_range(folder: str, name: str, first: int, last: int, size: int) -> bytes:
@@ -252,7 +262,8 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
     A response's ``payload_bytes`` and ``payload_digest`` come from the payload read, a
     revisit's from its header. A task reads one range: from the place where the file's
     chain enters it, record by record, to its end; bytes before belong to the range
-    before. ``with_payload`` adds the payload.
+    before. ``url`` is null where the header has none: no URL, or one that stands in a
+    metadata record. ``with_payload`` adds the payload.
     """
     schema = SCHEMA + (", payload binary" if with_payload else "")
     enter = entries(manifest, folder, range_bytes)
@@ -261,7 +272,7 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
     jobs = enter.join(sizes, "file").where("start < size")
     jobs = jobs.select("file", "start", F.least(F.floor(F.col("start") / step) * step + step, F.col("size")).alias("last"), "size")
     jobs = stored(jobs, "warc-jobs")
-    jobs = jobs.repartition(max(1, jobs.count()), "file", "start")
+    jobs = jobs.repartition(min(MOST_TASKS, max(1, jobs.count())), "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +315,11 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
 
 
 def archive_digests(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back, one row per page."""
+    """Write all pages, read the archives back, one row per page.
+
+    Repeated pages and pages without id keep a row each, null html is an empty payload,
+    other columns are not read, an empty table gives no row.
+    """
     folder = fresh_path(spark, "warc")
     manifest = write_archives(df, folder)
     back = read_archives(manifest, folder)

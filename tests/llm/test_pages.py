@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gapspark.llm import html_extract, warc
 from gapspark.llm.common import open_fs, stored
@@ -136,3 +137,15 @@ def test_no_pages(spark):
     where = fresh_path(spark, "warc")
     manifest = warc.write_archives(pages(spark).limit(0), where)
     assert warc.read_archives(manifest, where).count() == 0
+
+
+@pytest.mark.parametrize("range_bytes", [1000, 8_000_000])
+def test_long_urls_and_clashing_columns(spark, range_bytes):
+    rows = [(1, "http://x/" + "a" * 100_000, "h" * 200, 1, "k"), (2, " " * 60_000 + "é", "h" * 200, 2, "k"), (3, "http://x/" + "b" * 32_000, None, 3, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, size long, digest string").withColumn("key", F.lit(9)).withColumn("__k", F.lit(1))
+    where = fresh_path(spark, "warc")
+    manifest = warc.write_archives(df, where)
+    got = {r.page_id: r for r in warc.read_archives(manifest, where, range_bytes).collect()}
+    assert [(i, got[i].record_type, got[i].payload_bytes, got[i].refers_to) for i in (1, 2, 3)] == [(1, "response", 200, None), (2, "revisit", 200, 1), (3, "response", 0, None)]
+    assert (got[1].url, got[2].url, got[3].url) == (None, None, rows[2][1])
+    assert manifest.agg(F.sum("records")).first()[0] == 3
