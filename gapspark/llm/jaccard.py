@@ -179,32 +179,45 @@ class Trie:
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.common[i] = int(differ[0]) if len(differ) else m
-        # least and greatest size below each branch are bounded by those of its run
-        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.branch = np.array(self.common, dtype=np.int64)
+        sizes = [len(s) for s in self.sets]
+        self.least, self.most = min(sizes, default=0), max(sizes, default=0)
+        self.visited = 0
+
+    def run_end(self, i: int, depth: int) -> int:
+        """The leaf after the subtree below ``depth`` that leaf i lies in."""
+        leaves = np.flatnonzero(self.branch[i + 1 :] < depth)
+        return i + 1 + int(leaves[0]) if len(leaves) else len(self.sets)
 
     def links(self, query: np.ndarray, t: int, wanted) -> list[int]:
         """Members that link to the query; ``wanted(i)`` says whether member i is of interest.
 
         Walks the leaves in order. Along a path, ``shared[d]`` is the overlap of its first
         d elements with the query and ``passed[d]`` the query elements before them; both
-        are kept from the path before up to the branch. At a branch the bound
-        shared + min(rest of the path, rest of the query) decides whether the subtree, or
-        the leaf, is left.
+        are kept from the path before up to the branch. The overlap of any set below depth
+        d is at most shared + min(rest of the longest path, rest of the query), and the
+        shortest set needs the least: where that bound fails, the walk goes on behind the
+        subtree. ``visited`` counts the leaves whose path was looked at.
         """
         out = []
         q = len(query)
+        if not len(self.sets) or not q:
+            return out
         shared, passed = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         at = 0  # depth to which shared and passed hold for the current path
-        for i, keys in enumerate(self.sets):
+        i = 0
+        while i < len(self.sets):
+            keys = self.sets[i]
             at = min(at, self.common[i])
             size = len(keys)
             if not wanted(self.order[i]):
+                i += 1
                 continue
             need = least_overlap(size, q, t)
-            if min(size, q) < need:
-                continue
-            if shared[at] + min(size - at, q - passed[at]) < need:
+            if shared[at] + min(size - at, q - passed[at]) < need or min(size, q) < need:
+                i += 1  # this leaf's own size rules it out
                 continue
+            self.visited += 1
             tail = keys[at:]
             place = np.searchsorted(query, tail)
             hit = query[np.minimum(place, q - 1)] == tail
@@ -213,6 +226,13 @@ class Trie:
             at = size
             if shared[size] >= need:
                 out.append(self.order[i])
+                i += 1
+                continue
+            depth = np.arange(size + 1)
+            bound = shared + np.minimum(self.most - depth, q - passed)
+            # the bound only falls along a path: the first failure has the largest subtree
+            failed = np.flatnonzero(bound < least_overlap(self.least, q, t))
+            i = self.run_end(i, int(failed[0])) if len(failed) else i + 1
         return out
 
 

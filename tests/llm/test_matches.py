@@ -77,6 +77,24 @@ def test_trie_finds_all_links():
             assert set(trie.links(q, t, lambda i: True)) == want
 
 
+def test_trie_leaves_subtrees_that_cannot_link():
+    """Sets of five families share long beginnings; a query of one family asks few leaves of the others."""
+    random = np.random.default_rng(4)
+    heads = [np.arange(100 * f, 100 * f + 30) for f in range(5)]
+    sets = [np.concatenate([h, np.sort(random.choice(np.arange(1000, 1400), 6, replace=False))]).astype(np.uint64) for h in heads for _ in range(50)]
+    trie = jaccard.Trie(sets)
+    for at in range(0, 250, 10):
+        asked = []
+        found = trie.links(sets[at], 70, lambda i, asked=asked: asked.append(i) or True)
+        want = {i for i, s in enumerate(sets) if 100 * len(set(sets[at]) & set(s)) >= 70 * len(set(sets[at]) | set(s))}
+        assert set(found) == want and len(want) >= 5
+        assert len(asked) <= 50 + 4  # its own family, and one leaf of each other one
+    some = set(range(0, 250, 3))
+    assert set(trie.links(sets[1], 70, some.__contains__)) == {
+        i for i in some if 100 * len(set(sets[1]) & set(sets[i])) >= 70 * len(set(sets[1]) | set(sets[i]))}
+    assert jaccard.Trie([]).links(sets[0], 70, some.__contains__) == [] == trie.links(sets[0][:0], 70, some.__contains__)
+
+
 def test_groups_of_odd_rows(odd, none):
     got = jaccard.jaccard_groups(odd).collect()
     assert len(got) == 8
