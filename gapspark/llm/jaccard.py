@@ -205,6 +205,7 @@ class Trie:
             return out
         shared, passed = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         at = 0  # depth to which shared and passed hold for the current path
+        least = least_overlap(self.least, q, t)
         i = 0
         while i < len(self.sets):
             keys = self.sets[i]
@@ -228,11 +229,13 @@ class Trie:
                 out.append(self.order[i])
                 i += 1
                 continue
-            depth = np.arange(size + 1)
-            bound = shared + np.minimum(self.most - depth, q - passed)
-            # the bound only falls along a path: the first failure has the largest subtree
-            failed = np.flatnonzero(bound < least_overlap(self.least, q, t))
-            i = self.run_end(i, int(failed[0])) if len(failed) else i + 1
+            i += 1
+            # the bound only falls along a path: where it holds at the branch to the next
+            # leaf it holds above, and else its first failure has the largest subtree
+            d = self.common[i] if i < len(self.sets) else 0
+            if d and shared[d] + min(self.most - d, q - passed[d]) < least:
+                bound = shared[: d + 1] + np.minimum(self.most - np.arange(d + 1), q - passed[: d + 1])
+                i = self.run_end(i - 1, int(np.flatnonzero(bound < least)[0]))
         return out
 
 
