@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gapspark import fixed
 from gapspark.functions import scores, text
-from gapspark.session import cut_lineage
+from gapspark.session import cut_lineage, written
 
 ASPECTS = tuple(fixed.ASPECT_KEYWORDS)
 
@@ -134,6 +134,33 @@ def detected_aspects(
     return rows.where("detected").drop("detected")
 
 
+def shared_aspects(
+    reviews: DataFrame,
+    content: str = "review_content",
+    with_text: bool = True,
+    detected: bool = False,
+) -> DataFrame:
+    """The reviews' other columns with their aspect rows, as ``aspect_rows`` finds them
+    (only the detected ones, if asked); equal texts are analysed once.
+
+    The distinct texts are analysed over all cores, whatever partitions the reviews come
+    in, and stored, so that the join back is a broadcast by measured size where they are
+    few. Other columns than the text never travel for it.
+    """
+    others = [c for c in reviews.columns if c != content]
+    body = F.coalesce(content, F.lit(""))
+    texts = reviews.select(body.alias("text")).distinct()
+    rows = with_aspects(texts.repartition("text"), "text", with_text=with_text)
+    is_detected = lambda a: a["confidence"] > fixed.ASPECT_MIN_CONFIDENCE
+    kept = F.filter("_aspects", is_detected) if detected else F.col("_aspects")
+    found = written(rows.select(F.md5("text").alias("_text_id"), kept.alias("_aspects")), "aspects")
+    keyed = reviews.select(*others, F.md5(body).alias("_text_id"))
+    exploded = keyed.join(found, "_text_id").select(*others, F.inline("_aspects"))
+    if detected:
+        return exploded
+    return exploded.withColumn("detected", F.col("confidence") > fixed.ASPECT_MIN_CONFIDENCE)
+
+
 def overall_sentiment(positive: Column, negative: Column, neutral: Column) -> Column:
     """Strict majority of the detected aspects; everything else is mixed."""
     return (
