@@ -7,6 +7,7 @@ from gapspark.functions import text
 from gapspark.plans.fixtures import Views
 from gapspark.plans.ingest_queries import LINKED, TITLES
 from gapspark.plans.registry import query
+from gapspark.sources import folders
 from gapspark.sources.keyed_log import KeyedLog
 from gapspark.streaming import lifecycle, reviews as stream_ops
 
@@ -44,18 +45,23 @@ def _stream_dedupe(v):
     return v.spark.read.parquet(rows)
 
 
-#: Files that a registered stream reads one after the other, each in a batch of its own.
-FILES = 4
+#: Parts that a registered stream reads one after the other, each in a batch of its own.
+PARTS = 4
 
 
-def landed(v, rows, day, name: str):
-    """A table as files of a landing folder in the order of its days, and its stream."""
+def landing(v, rows, name: str):
+    """A new landing folder for rows like these, and the stream that reads it."""
     folder = session.fresh_path(v.spark, f"{name}-landing")
+    folders.create(v.spark, folder)
+    return folder, stream_ops.read_parquet_stream(v.spark, folder, rows.schema)
+
+
+def land_by_days(rows, day, folder: str, run) -> None:
+    """Land a table in the order of its days and run the stream after each part."""
     first, last = rows.agg(F.min(day), F.max(day)).first()
-    width = max(1, -(-((last - first).days + 1) // FILES))
+    width = max(1, -(-((last - first).days + 1) // PARTS))
     part = F.floor(F.datediff(F.col(day), F.lit(first)) / width)
-    stream_ops.land(rows, folder, FILES, part)
-    return folder, stream_ops.read_parquet_stream(v.spark, folder, rows.schema, files=1)
+    stream_ops.land(rows, folder, PARTS, part, run)
 
 
 def dated_reviews(v):
@@ -82,12 +88,17 @@ def closed(v, folder, schema):
 )
 def _stream_windows(v):
     """Update mode into a keyed table: every window is there, closed or not."""
-    _, stream = landed(v, dated_reviews(v), "review_date", "windows")
+    rows = dated_reviews(v)
+    folder, stream = landing(v, rows, "windows")
     counts = stream_ops.window_counts(stream, "ts")
     base = session.fresh_path(v.spark, "windows")
     log = KeyedLog(v.spark, f"{base}/table", "window_start", overwrite=True)
     log.start(v.spark.createDataFrame([], counts.schema))
-    stream_ops.keep_updates(counts, log, f"{base}/state").awaitTermination()
+
+    def run() -> None:
+        stream_ops.keep_updates(counts, log, f"{base}/state").awaitTermination()
+
+    land_by_days(rows, "review_date", folder, run)
     return log.read().select(
         F.col("window_start").cast("date").alias("window_start"),
         F.col("window_end").cast("date").alias("window_end"),
@@ -115,12 +126,18 @@ runs AS (SELECT film_link, min(review_date) AS session_start,
 )
 def _stream_sessions(v):
     rows = dated_reviews(v)
-    folder, stream = landed(v, rows, "review_date", "sessions")
-    closed(v, folder, rows.schema)
+    folder, stream = landing(v, rows, "sessions")
+    base = session.fresh_path(v.spark, "sessions")
     with session.setting(v.spark, session.LOCAL_SESSION_MERGE, "true"):
         runs = stream_ops.activity_sessions(stream, "ts")
-        found, _ = stream_ops.run_to_table(v.spark, runs, "sessions")
-    return v.spark.read.parquet(found).where("film_link <> ''").select(
+
+        def run() -> None:
+            stream_ops.run_to_table(v.spark, runs, "sessions", base=base)
+
+        land_by_days(rows, "review_date", folder, run)
+        closed(v, folder, rows.schema)
+        run()
+    return v.spark.read.parquet(f"{base}/rows").where("film_link <> ''").select(
         "film_link",
         F.col("session_start").cast("date").alias("session_start"),
         F.col("session_end").cast("date").alias("session_end"),
@@ -159,14 +176,17 @@ def _stream_upsert(v):
     log = KeyedLog(v.spark, f"{base}/films", "film_link", ["reviews_updated_on"])
     log.start(v.gap_films.select("film_link", "movie_title", "reviews_updated_on"))
     rows = v.plain_reviews.select("film_link", F.col("review_date").alias("reviews_updated_on"))
-    _, stream = landed(v, rows, "reviews_updated_on", "upsert")
+    folder, stream = landing(v, rows, "upsert")
 
     def apply(batch, number: int) -> None:
         log.apply(batch, number, F.col("reviews_updated_on"))
         if number == 1:
             log.compact()
 
-    stream_ops.upsert_batches(stream, apply, f"{base}/state").awaitTermination()
+    def run() -> None:
+        stream_ops.upsert_batches(stream, apply, f"{base}/state").awaitTermination()
+
+    land_by_days(rows, "reviews_updated_on", folder, run)
     return log.read()
 
 
@@ -184,12 +204,18 @@ def _stream_upsert(v):
 )
 def _stream_lifecycle(v):
     rows = dated_reviews(v)
-    folder, stream = landed(v, rows, "review_date", "lifecycle")
-    closed(v, folder, rows.schema)
+    folder, stream = landing(v, rows, "lifecycle")
+    base = session.fresh_path(v.spark, "lifecycle")
     with session.setting(v.spark, session.STATE_STORE, lifecycle.STATE_PROVIDER):
         events = lifecycle.window_events(lifecycle.review_days(stream, "ts"))
-        found, _ = stream_ops.run_to_table(v.spark, events, "lifecycle")
-    return v.spark.read.parquet(found).where("film_link <> ''")
+
+        def run() -> None:
+            stream_ops.run_to_table(v.spark, events, "lifecycle", base=base)
+
+        land_by_days(rows, "review_date", folder, run)
+        closed(v, folder, rows.schema)
+        run()
+    return v.spark.read.parquet(f"{base}/rows").where("film_link <> ''")
 
 
 EVENT_KEYS = ["user_id", "event_type"]
@@ -211,15 +237,15 @@ def _stream_bursts(v):
     folder = session.fresh_path(v.spark, "bursts")
     state, found = f"{folder}/state", f"{folder}/rows"
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1.0, (last - first).total_seconds() / FILES)
+    width = max(1.0, (last - first).total_seconds() / PARTS)
     seconds = F.unix_micros("ts") - F.unix_micros(F.lit(first))
-    part = F.least(F.floor(seconds / (1e6 * width)), F.lit(FILES - 1))
-    for i in range(FILES + 1):
-        if i < FILES:
-            rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    part = F.least(F.floor(seconds / (1e6 * width)), F.lit(PARTS - 1))
+    for i in range(PARTS + 1):
+        if i < PARTS:
+            rows.where(part == i).write.mode("append").parquet(f"{folder}/landing")
         else:
             stream_ops.close_landing(v.spark, f"{folder}/landing", rows.schema, ts=stream_ops.CLOSING, event_type="")
-        stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", rows.schema, files=1)
+        stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", rows.schema)
         bursts = stream_ops.first_of_bursts(stream, "ts", EVENT_KEYS, ["event_id"], "6 hours")
         writer = bursts.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True)
         writer.start(found).awaitTermination()
@@ -239,9 +265,12 @@ def _stream_late_rows(v):
     """Files that each span the whole month, so most of a later file's rows are late."""
     rows = v.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     folder = session.fresh_path(v.spark, "late")
-    stream_ops.land(rows, f"{folder}/landing", FILES, (F.col("event_id") + 1) % FILES)
-    stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", rows.schema, files=1)
-    stream_ops.late_split(stream, "ts", f"{folder}/split", f"{folder}/state", "10 days").awaitTermination()
+    landed, stream = landing(v, rows, "late")
+
+    def run() -> None:
+        stream_ops.late_split(stream, "ts", f"{folder}/split", f"{folder}/state", "10 days").awaitTermination()
+
+    stream_ops.land(rows, landed, PARTS, (F.col("event_id") + 1) % PARTS, run)
     return stream_ops.late_counts(v.spark, f"{folder}/split").select("batch", "rows", "late")
 
 
@@ -269,11 +298,14 @@ def _stream_link_index(v):
     folder = session.fresh_path(v.spark, "linked")
     films = v.gap_films.select("film_link", "movie_title", "film_id")
     index = stream_ops.TitleIndex(v.spark, f"{folder}/index")
+    landed, stream = landing(v, titled, "linked")
+
+    def run() -> None:
+        stream_ops.link_batches(stream, index, f"{folder}/rows", f"{folder}/state").awaitTermination()
+
     for half, known in enumerate((films.where("film_id % 2 = 0"), films)):
         index.publish(known)
-        part = F.col("article_id") % FILES - 2 * half
-        stream_ops.land(titled, f"{folder}/landing", 2, part)
-        stream = stream_ops.read_parquet_stream(v.spark, f"{folder}/landing", titled.schema, files=1)
-        stream_ops.link_batches(stream, index, f"{folder}/rows", f"{folder}/state").awaitTermination()
+        part = F.col("article_id") % PARTS - 2 * half
+        stream_ops.land(titled, landed, 2, part, run)
     rows = v.spark.read.parquet(f"{folder}/rows")
     return rows.select(F.col("article_id").cast("string").alias("external_id"), "film_link")

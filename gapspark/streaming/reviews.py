@@ -153,10 +153,11 @@ def snapshot_upsert(spark: SparkSession, base: str, key: str, order: Column, col
 
 
 def run_to_table(
-    spark: SparkSession, stream: DataFrame, name: str, mode: str = "append"
+    spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", base: str | None = None
 ) -> tuple[str, StreamingQuery]:
-    """Drain what is available into a new Parquet table in the shared folder."""
-    base = session.fresh_path(spark, name)
+    """Drain what is available into a Parquet table in the shared folder: a new one, or the
+    one below ``base``, which goes on from its checkpoint."""
+    base = base or session.fresh_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
@@ -183,11 +184,17 @@ def late_rows(query: StreamingQuery) -> int:
 CLOSING = "2999-12-31 00:00:00"
 
 
-def land(df: DataFrame, folder: str, parts: int, part: Column) -> None:
-    """Write a table as ``parts`` files, one after the other, for a stream to read in
-    that order; ``part`` gives a row's file, from 0."""
+def land(df: DataFrame, folder: str, parts: int, part: Column, run: Callable[[], object]) -> None:
+    """Write a table to a landing folder in ``parts`` parts, one after the other, and after
+    each ``run`` the stream that reads the folder, so that a part is a batch of its own;
+    ``part`` gives a row's part, from 0.
+
+    A part is as many files as the table has partitions with rows of it: no task writes or
+    reads more than the scan of the table itself deals out.
+    """
     for i in range(parts):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+        df.where(part == i).write.mode("append").parquet(folder)
+        run()
 
 
 def close_landing(spark: SparkSession, folder: str, schema, **values) -> None:

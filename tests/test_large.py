@@ -5,9 +5,12 @@ import io
 
 import pytest
 from frames import values
+from pyspark.sql import functions as F
 
 from gapspark.operators import aspects
 from gapspark.plans.registry import load_all
+from gapspark.sources import folders
+from gapspark.streaming import reviews as ops
 
 
 def plan(df) -> str:
@@ -31,3 +34,21 @@ def test_shared_aspects_equal_those_of_every_row(spark):
 def test_sentences_are_not_cut_review_by_review(spark, folder, name):
     shown = plan(load_all()[name](spark, folder))
     assert "split(" not in shown
+
+
+def test_a_part_lands_in_many_files_and_is_one_batch(spark, tmp_path):
+    path, seen = str(tmp_path / "landing"), []
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "id % 2 AS part")
+    folders.create(spark, path)
+    stream = ops.read_parquet_stream(spark, path, rows.schema)
+
+    def apply(batch, number) -> None:
+        parts = [r[0] for r in batch.select("part").distinct().collect()]
+        seen.append((parts, batch.count()))
+
+    def run() -> None:
+        ops.upsert_batches(stream, apply, str(tmp_path / "state")).awaitTermination()
+
+    ops.land(rows, path, 2, F.col("part"), run)
+    assert seen == [([0], 500), ([1], 500)]
+    assert len(spark.read.parquet(path).inputFiles()) == 8
