@@ -1,16 +1,18 @@
 """What keeps the work of large tables in bounds; results stay those of the plain operators."""
 
 import contextlib
+import datetime as dt
 import io
 
 import pytest
 from frames import values
 from pyspark.sql import functions as F
 
+from gapspark import session
 from gapspark.operators import aspects
 from gapspark.plans.registry import load_all
 from gapspark.sources import folders
-from gapspark.streaming import reviews as ops
+from gapspark.streaming import lifecycle, reviews as ops
 
 
 def plan(df) -> str:
@@ -52,3 +54,21 @@ def test_a_part_lands_in_many_files_and_is_one_batch(spark, tmp_path):
     ops.land(rows, path, 2, F.col("part"), run)
     assert seen == [([0], 500), ([1], 500)]
     assert len(spark.read.parquet(path).inputFiles()) == 8
+
+
+def test_films_of_one_bucket_close_on_their_own_days(spark, tmp_path):
+    path, first = str(tmp_path / "landing"), dt.datetime(2024, 1, 1)
+    base = session.fresh_path(spark, "events")
+    folders.create(spark, path)
+    stream = ops.read_parquet_stream(spark, path, "film_link string, ts timestamp")
+    with session.setting(spark, session.STATE_STORE, lifecycle.STATE_PROVIDER):
+        events = lifecycle.window_events(lifecycle.review_days(stream, "ts"), buckets=1)
+        for batch in ([("a", 0), ("b", 3), ("c", 9)], [("a", 10), ("d", 21)], [("e", 60)]):
+            rows = [(film, first + dt.timedelta(days=day)) for film, day in batch]
+            spark.createDataFrame(rows, "film_link string, ts timestamp").write.mode("append").parquet(path)
+            ops.run_to_table(spark, events, "events", base=base)
+    got = values(spark.read.parquet(f"{base}/rows"))
+    closed = {r[0]: (r[2] - first.date()).days for r in got if r[1] == "closed"}
+    opened = {r[0]: (r[2] - first.date()).days for r in got if r[1] == "opened"}
+    assert closed == {"a": 25, "b": 18, "c": 24, "d": 36}
+    assert {"a": 0, "b": 3, "c": 9, "d": 21}.items() <= opened.items() and len(got) - len(opened) == len(closed)
