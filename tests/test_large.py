@@ -9,7 +9,7 @@ from frames import values
 from pyspark.sql import functions as F
 
 from gapspark import session
-from gapspark.operators import aspects
+from gapspark.operators import aspects, classify
 from gapspark.plans.registry import load_all
 from gapspark.sources import folders
 from gapspark.streaming import lifecycle, reviews as ops
@@ -72,3 +72,24 @@ def test_films_of_one_bucket_close_on_their_own_days(spark, tmp_path):
     opened = {r[0]: (r[2] - first.date()).days for r in got if r[1] == "opened"}
     assert closed == {"a": 25, "b": 18, "c": 24, "d": 36}
     assert {"a": 0, "b": 3, "c": 9, "d": 21}.items() <= opened.items() and len(got) - len(opened) == len(closed)
+
+
+def test_stored_sentiment_scores_a_text_once_and_nothing_that_is_known(spark):
+    asked = []
+
+    class Models:
+        def opinions(self, df, content):
+            asked.append(sorted(r[0] for r in df.select(content).collect()))
+            label, sure = F.upper(content), F.length(content).cast("double")
+            return df.withColumns({"fast_label": label, "fast_confidence": sure, "deep_label": label, "deep_confidence": sure})
+
+    schema = "film_link string, source string, external_id string, review_content string"
+    rows = [(f"m/{i}", "a", None if i % 3 == 0 else str(i), ("good", "bad")[i % 2]) for i in range(30)]
+    log = classify.sentiment_log(spark, session.fresh_path(spark, "sentiments"))
+    for run in (0, 0, 1):
+        classify.store_sentiment(log, spark.createDataFrame(rows, schema), Models(), run)
+    log.compact()
+    classify.store_sentiment(log, spark.createDataFrame(rows, schema), Models(), 1)
+    assert asked == [["bad", "good"], ["bad", "good"], []]
+    got = sorted((r.film_link, r.fast_label) for r in log.read().collect())
+    assert got == sorted((r[0], r[3].upper()) for r in rows)
