@@ -6,7 +6,8 @@ documents that share such an element form a task: the sets of its members are pu
 trie, and a query set walks it, sharing the overlap of common beginnings and leaving a
 subtree when what remains is too short for a link.
 
-Short lists of documents that share an element give pairs. In a long list (many
+Short lists of documents that share an element give pairs; a document is compared with its
+first partner, and then with those of its partners that are in another component. In a long list (many
 near copies) every member is first compared with one of them; only components are asked
 for, so a list whose members are then in one component is done. Parity sketches rule out
 most pairs that only share common elements before their sets are fetched. The other long lists
@@ -110,7 +111,8 @@ def ordered(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort((top << np.uint64(56)) | (codes >> np.uint64(8)))
 
 
-#: Bits of a set's parity sketch.
+#: Bits of a set's parity sketch at least; a larger set has a bit for two elements or more,
+#: always a power of two: with few bits, large sets that share little could not be told apart.
 SKETCH = 1024
 
 
@@ -118,13 +120,22 @@ def parity_sketch(keys: np.ndarray) -> np.ndarray:
     """Bit i: whether an odd number of keys falls on it.
 
     An element that one of two sets holds alone changes one bit at most, so sketches
-    that differ in d bits prove that at least d elements are not shared.
+    that differ in d bits prove that at least d elements are not shared. The exclusive or
+    of the halves of a sketch is the set's sketch of half as many bits.
     """
+    bits = max(SKETCH, 1 << ((len(keys) + 1) // 2 - 1).bit_length() if len(keys) else 0)
     mixed_keys = mixed(keys)
-    odd = np.bincount((mixed_keys % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    odd = np.bincount((mixed_keys % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(sketch: str, words):
+    """A sketch as one of so many words, its own number or a smaller power of two."""
+    parts = F.sequence(F.lit(0), (F.size(sketch) / words).cast("int") - 1)
+    part = lambda i: F.aggregate(parts, F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(sketch, i + j * words)))
+    return F.when(F.size(sketch) == words, F.col(sketch)).otherwise(F.transform(F.sequence(F.lit(0), words - 1), part))
+
+
 def signatures(df: DataFrame, classes: np.ndarray, n: int, t: int) -> DataFrame:
     """id, size, digest (of the whole set), prefix (keys as signed numbers), sketch."""
     shared = df.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
@@ -276,7 +287,9 @@ def task_links(rows: list[tuple], t: int) -> list[tuple]:
 
 def run_tasks(tasks: DataFrame, sets: DataFrame, components: DataFrame, t: int) -> DataFrame:
     """Links (a, b) of tasks (task, id, is_query, is_member)."""
-    full = tasks.join(components, "id").join(sets, "id").select("task", "id", "component", "is_query", "is_member", "keys")
+    tasks = stored(tasks, "jaccard-tasks")
+    own = sets.join(tasks.select("id").distinct(), "id", "left_semi")  # few ids: the other sets do not travel
+    full = tasks.join(components, "id").join(own, "id").select("task", "id", "component", "is_query", "is_member", "keys")
     kinds = dict(full.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
@@ -384,8 +397,13 @@ def jaccard_groups(
     candidates = stored(pairs.select("id").union(pairs.select(F.col("pivot").alias("id"))).union(in_long).distinct(), "jaccard-candidates")
     sets = stored(sets_of(docs.join(candidates, "id", "left_semi"), classes, n), "jaccard-sets")
     labels = candidates.select("id", F.col("id").alias("component"))
-    links = stored(run_tasks(tasks_of_pairs(pairs, block), sets, labels, percent), "jaccard-links")
+    # a member is compared with its first pivot, then with those that are still apart from it
+    links = stored(run_tasks(tasks_of_pairs(first_pivots(pairs), block), sets, labels, percent), "jaccard-links")
     labels = connected(candidates, links)
+    left = stored(apart(pairs, labels), "jaccard-apart")
+    if left.head(1):
+        links = stored(run_tasks(tasks_of_pairs(left, block), sets, labels, percent), "jaccard-links")
+        labels = connected(candidates, links, labels)
     # long lists whose members are still in several components are compared in full
     left = stored(open_lists(long_.join(labels, "id")), "jaccard-open")
     if left.head(1):
@@ -408,11 +426,15 @@ def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     a = sets.select("id", F.col("size").alias("sa"), F.col("sketch").alias("ka"))
     b = sets.select(F.col("id").alias("pivot"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
+    words = F.least(F.size("ka"), F.size("kb"))
     differ = F.aggregate(
-        F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits
+        F.zip_with(folded("ka", words), folded("kb", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0), lambda total, bits: total + bits,
     )
-    allowed = F.col("sa") + F.col("sb") - 2 * need(F.col("sa"), F.col("sb"), percent)
-    return pairs.join(a, "id").join(b, "pivot").where(differ <= allowed).select("id", "pivot").distinct()
+    needed = need(F.col("sa"), F.col("sb"), percent)
+    fit = F.least("sa", "sb") >= needed
+    allowed = F.col("sa") + F.col("sb") - 2 * needed
+    return pairs.join(a, "id").join(b, "pivot").where(fit).where(differ <= allowed).select("id", "pivot").distinct()
 
 
 def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -430,6 +452,18 @@ def pivot_pairs(lists: DataFrame) -> DataFrame:
     return lists.join(first, "token").select("id", F.col("p.id").alias("pivot")).where("id <> pivot")
 
 
+def first_pivots(pairs: DataFrame) -> DataFrame:
+    """(id, pivot) of each id with its smallest pivot: one pair for an id."""
+    return pairs.groupBy("id").agg(F.min("pivot").alias("pivot"))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (id, pivot) pairs whose ends are in different components."""
+    a = labels.withColumnRenamed("component", "ca")
+    b = labels.select(F.col("id").alias("pivot"), F.col("component").alias("cb"))
+    return pairs.join(a, "id").join(b, "pivot").where("ca <> cb").select("id", "pivot")
+
+
 def tasks_of_pairs(pairs: DataFrame, block: int) -> DataFrame:
     """Tasks whose query is a pivot and whose members are up to about ``block`` partners."""
     salted = dealt(pairs, "pivot", block)

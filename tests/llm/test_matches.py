@@ -66,6 +66,30 @@ def test_groups_match_brute_force(spark, percent, small, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(texts, percent)
 
 
+def test_sketches_tell_large_sets_apart_and_keep_those_that_link(spark):
+    """Large sets that share a quarter are no pair to compare; sets that link stay one, also
+    where their sketches differ in length. One partner comes first, the others if apart."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 14_000, dtype=np.uint64))
+    spans = {1: (0, 6000), 2: (4500, 10500), 3: (0, 2040), 4: (0, 2060), 5: (0, 9000), 6: (0, 300), 7: (0, 0)}
+    sets = {i: keys[a:b] for i, (a, b) in spans.items()}
+    rows = [(i, len(k), jaccard.parity_sketch(k).tolist()) for i, k in sets.items()]
+    assert {i: len(k) for i, _, k in rows} == {1: 64, 2: 64, 3: 16, 4: 32, 5: 128, 6: 16, 7: 16}
+    chosen = spark.createDataFrame(rows, "id long, size long, sketch array<long>")
+    pairs = spark.createDataFrame([(b, a) for a in sets for b in sets if a < b], "id long, pivot long")
+    assert sorted(map(tuple, jaccard.near(pairs, chosen, 90).collect())) == [(4, 3)]
+    # fewer bits are the exclusive or of the parts of more
+    one = jaccard.parity_sketch(sets[5]).reshape(-1, 32)
+    got = chosen.where("id = 5").select(jaccard.folded("sketch", F.lit(32))).first()[0]
+    assert got == np.bitwise_xor.reduce(one).tolist()
+
+
+def test_only_partners_in_other_components_are_left(spark):
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (4, 3), (4, 2)], "id long, pivot long")
+    assert sorted(map(tuple, jaccard.first_pivots(pairs).collect())) == [(2, 1), (3, 1), (4, 2)]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id long, component long")
+    assert sorted(map(tuple, jaccard.apart(pairs, labels).collect())) == [(4, 2), (4, 3)]
+
+
 def test_trie_finds_all_links():
     random = np.random.default_rng(3)
     sets = [np.unique(random.integers(0, 60, int(n))).astype(np.uint64) for n in random.integers(1, 40, 120)]
