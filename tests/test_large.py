@@ -9,7 +9,7 @@ from frames import values
 from pyspark.sql import functions as F
 
 from gapspark import session
-from gapspark.operators import aspects, classify
+from gapspark.operators import aspects, classify, linear
 from gapspark.plans.registry import load_all
 from gapspark.sources import folders
 from gapspark.streaming import lifecycle, reviews as ops
@@ -93,3 +93,17 @@ def test_stored_sentiment_scores_a_text_once_and_nothing_that_is_known(spark):
     assert asked == [["bad", "good"], ["bad", "good"], []]
     got = sorted((r.film_link, r.fast_label) for r in log.read().collect())
     assert got == sorted((r[0], r[3].upper()) for r in rows)
+
+
+def test_texts_are_dealt_out_by_their_bytes(spark, monkeypatch):
+    """Twice the text gives twice the partitions, so a task's share of words stays the same."""
+    monkeypatch.setattr(session, "TEXT_PART", 1 << 16)
+    text = "a word and another " * 100
+    for rows in (400, 800):
+        df = spark.range(rows).select(F.col("id").cast("string").alias("text_id"), F.concat(F.lit(text), "id").alias("text"))
+        parts = session.spread(df, "text", "text_id", "texts")
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0]
+        assert parts.rdd.getNumPartitions() == -(-size // (1 << 16))
+        assert parts.count() == rows
+        rated = linear.rated_counts(df.withColumn("label", F.lit(1)), "text", "label")
+        assert session.cut_lineage(spark, rated).rdd.getNumPartitions() > 8
