@@ -107,3 +107,7 @@ def test_texts_are_dealt_out_by_their_bytes(spark, monkeypatch):
         assert parts.count() == rows
         rated = linear.rated_counts(df.withColumn("label", F.lit(1)), "text", "label")
         assert session.cut_lineage(spark, rated).rdd.getNumPartitions() > 8
+
+
+def test_documents_of_one_row_group_are_analysed_by_several_tasks(spark, folder):
+    assert "REPARTITION_BY_COL" in plan(load_all()["document_aspects"](spark, folder))
