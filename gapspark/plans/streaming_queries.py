@@ -40,9 +40,11 @@ def review_stream(v):
     "SELECT DISTINCT source, external_id FROM fx_reviews",
 )
 def _stream_dedupe(v):
-    once = stream_ops.dedupe(review_stream(v), "ts", "3000 days")
-    rows, _ = stream_ops.run_to_table(v.spark, once.select("source", "external_id"), "dedupe")
-    return v.spark.read.parquet(rows)
+    """Keys are remembered for 3000 days, so nearly all are: in files, not in a state store."""
+    base = session.fresh_path(v.spark, "dedupe")
+    stream = review_stream(v).select("source", "external_id", "ts")
+    stream_ops.dedupe_batches(stream, "ts", f"{base}/rows", f"{base}/state", "3000 days").awaitTermination()
+    return v.spark.read.parquet(f"{base}/rows").select("source", "external_id")
 
 
 #: Parts that a registered stream reads one after the other, each in a batch of its own.

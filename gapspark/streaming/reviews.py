@@ -55,6 +55,38 @@ def dedupe(
     return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
+def dedupe_batches(
+    stream: DataFrame, ts: str, folder: str, checkpoint: str, delay: str = "1 day",
+    keys: tuple[str, ...] = ("source", "external_id"),
+) -> StreamingQuery:
+    """The first row of every key into ``folder``, batch by batch; for delays that keep more
+    keys than a state store holds in memory.
+
+    What is remembered is the rows written before: of a batch, the first row of a key by
+    event time stays, unless a row of the key was kept that is at most the delay older.
+    Copies are reduced in every task before the one shuffle, so no key is hot; a batch
+    costs its own rows and a pass over the keys and times kept. Null keys are equal, a
+    null event time is within any delay. A repeated batch reads only the batches before
+    its number and writes the same rows again.
+    """
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        firsts = merge.first_per_key(batch, list(keys), [ts])
+        done = [n for n in folders.finished(spark, folder, "batch") if n < number]
+        if done:
+            reader = batch.sparkSession.read.schema(batch.schema)
+            kept = reader.parquet(*[f"{folder}/batch={n}" for n in done])
+            kept = kept.select(F.col(ts).alias("__ts"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)])
+            same = F.coalesce(F.col("__ts") >= F.col(ts) - F.expr(f"INTERVAL {delay}"), F.lit(True))
+            for i, k in enumerate(keys):
+                same &= F.col(k).eqNullSafe(F.col(f"__{i}"))
+            firsts = firsts.join(kept, same, "left_anti")
+        firsts.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return upsert_batches(stream, apply, checkpoint)
+
+
 def link_stream(articles: DataFrame, films: DataFrame, title: str = "film_title") -> DataFrame:
     """Articles of a stream with the film their title names; others are dropped.
 

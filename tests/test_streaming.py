@@ -40,6 +40,26 @@ def test_duplicates_across_batches(spark, landing):
     ]
 
 
+def test_duplicates_across_batches_without_a_state_store(spark, landing, tmp_path):
+    put, stream = landing
+    put(("m/1", "a", "1", "Fresh", at(0, 5)), ("m/2", "a", "1", "Fresh", at(0)), ("m/1", None, "1", "Fresh", at(0)))
+    folder, state = str(tmp_path / "kept"), str(tmp_path / "kept-state")
+
+    def run():
+        query = ops.dedupe_batches(stream(), "ts", folder, state)
+        query.awaitTermination()
+        assert not [o for p in query.recentProgress for o in p.stateOperators]
+        return sorted(values(spark.read.parquet(folder).select("film_link", "external_id", "ts")), key=str)
+
+    first = [("m/1", "1", at(0)), ("m/2", "1", at(0))]
+    assert run() == first
+    put(("m/3", "a", "1", "Fresh", at(1)), ("m/1", None, "1", "Fresh", at(0, 9)), ("m/3", "a", "2", "Fresh", at(1)))
+    second = sorted([*first, ("m/3", "2", at(1))], key=str)
+    assert run() == second  # the run goes on from its checkpoint
+    put(("m/4", "a", "1", "Fresh", at(3)))  # beyond the delay
+    assert run() == sorted([*second, ("m/4", "1", at(3))], key=str)
+
+
 def test_late_rows_are_dropped_and_counted(spark, landing):
     put, stream = landing
     put(("m/1", "a", "1", "Fresh", at(0)), ("m/1", "a", "2", "Fresh", at(40)))
