@@ -41,23 +41,31 @@ def top_per_group(
     return df.withColumn(rank, place).where(F.col(rank) <= n)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of every key, by ``order`` (values, ascending, null first) and then by
     the row's other columns.
 
     An aggregate: every task keeps one row per key before the one shuffle, so many copies
-    of a key are cheap and no key is hot.
+    of a key are cheap and no key is hot. An order column given by its name travels once;
+    a Column travels beside the row.
     """
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.distinct()
-    places = [o.alias(f"_{i}") for i, o in enumerate(order)]
-    first = F.min(F.struct(*places, F.struct(*others).alias("_row"))).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first._row.*").select(*df.columns)
+    # a key is the same in all its rows and orders nothing
+    order = [o for o in order if not (isinstance(o, str) and o in keys)]
+    named = [o for o in order if isinstance(o, str)]
+    places = [F.col(o) if isinstance(o, str) else o.alias(f"__{i}") for i, o in enumerate(order)]
+    rest = [c for c in others if c not in named]
+    row = [F.struct(*rest).alias("__row")] if rest else []
+    first = F.min(F.struct(*places, *row)).alias("__first")
+    fields = {c: F.col("__first").getField(c) for c in named}
+    fields |= {c: F.col("__first").getField("__row").getField(c) for c in rest}
+    return df.groupBy(*keys).agg(first).select(*[fields[c].alias(c) if c in fields else c for c in df.columns])
 
 
 def new_rows(
-    stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]
+    stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column | str]
 ) -> DataFrame:
     """Incoming rows an insert-ignore would add.
 
@@ -73,7 +81,7 @@ def new_rows(
 
 
 def insert_ignore(
-    stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]
+    stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column | str]
 ) -> DataFrame:
     """The stored table after an insert that skips existing keys."""
     added = new_rows(stored, incoming, keys, order)

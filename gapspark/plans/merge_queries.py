@@ -12,7 +12,7 @@ TIES = "review_date, critic_name, review_type, review_content"
 
 
 def ties():
-    return [F.col(c) for c in TIES.split(", ")]
+    return TIES.split(", ")
 
 
 @query(
@@ -23,12 +23,11 @@ def ties():
         ORDER BY film_link, {TIES}) AS place FROM fx_reviews) WHERE place = 1""",
 )
 def _review_dedupe(v):
-    firsts = merge.first_per_key(
-        v.reviews, ["source", "external_id"], [F.col("film_link"), *ties()]
-    )
-    return firsts.select(
-        "source", "external_id", "film_link", "critic_name", "review_date", "review_type"
-    )
+    """The text orders last: it only chooses between rows that are equal in what is returned,
+    so it does not travel."""
+    asked = ["source", "external_id", "film_link", "critic_name", "review_date", "review_type"]
+    order = ["film_link", *(c for c in ties() if c in asked)]
+    return merge.first_per_key(v.reviews.select(*asked), ["source", "external_id"], order)
 
 
 # A batch that holds everything again, with no id where the verdict is unknown.

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gapspark.operators import aspects, catalog, classify, explain, link, merge, reviews, trend
-from gapspark.plans.fixtures import Views
+from gapspark.plans.fixtures import PHRASES, Views
 from gapspark.plans.ingest_queries import review_rows
 from gapspark.plans.registry import load_all
 
@@ -40,6 +40,22 @@ def test_the_first_row_of_a_key_takes_one_shuffle(spark, folder, capsys):
     assert shown.count("Exchange") == 1 and "partial_min" in shown and "Window" not in shown
 
 
+def test_order_columns_given_by_name_travel_once(spark, folder, capsys):
+    rows = Views(spark, folder).plain_reviews.select("source", "external_id", "film_link", "review_date", "label")
+    keys = ["source", "external_id"]
+    named = merge.first_per_key(rows, keys, ["film_link", "source", "review_date"])
+    by_column = merge.first_per_key(rows, keys, [F.col("film_link"), F.col("review_date")])
+    assert named.columns == rows.columns
+    assert named.exceptAll(by_column).count() == by_column.exceptAll(named).count() == 0
+    partial = next(line for line in plan(named, capsys).splitlines() if "partial_min" in line)
+    assert partial.partition("partial_min")[2].partition("]")[0].count("film_link#") == 1
+
+
+def test_deduplicated_reviews_send_no_texts(spark, folder, capsys):
+    shown = plan(load_all()["review_dedupe"](spark, folder), capsys)
+    assert PHRASES[0] not in shown
+
+
 def test_top_groups_take_one_shuffle_unless_salted(spark, folder, capsys):
     v = Views(spark, folder)
     assert plan(reviews.latest_reviews(v.plain_reviews), capsys).count("Exchange") == 1
