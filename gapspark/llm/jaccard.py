@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gapspark.llm.common import ASCII_LOWER, stored
+from gapspark.llm.common import ASCII_LOWER, memo_of_task, stored
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 #: Counters of the frequency sketch, which sets the global order.
@@ -50,6 +50,10 @@ class Codes(dict):
 CODES = Codes()
 
 
+def begin_task() -> None:
+    memo_of_task(CODES)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX[1]
     x = (x ^ (x >> np.uint64(27))) * MIX[2]
@@ -89,6 +93,7 @@ def frequency_order(df: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         seen = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -141,6 +146,7 @@ def signatures(df: DataFrame, classes: np.ndarray, n: int, t: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             sizes, digests, prefixes, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -164,6 +170,7 @@ def sets_of(df: DataFrame, classes: np.ndarray, n: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             keys = [ordered(shingles(x, n), shared.value).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["id", "keys"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from gapspark.llm.common import open_fs
+from gapspark.llm.common import memo_of_task, open_fs
 from gapspark.session import fresh_path
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
@@ -45,7 +46,12 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
 
 
-MEMO: dict[str, list[int]] = {}
+#: Buckets by word, as the bytes of 32-bit numbers: a third of what lists of numbers take.
+MEMO: dict[str, bytes] = {}
+
+
+def begin_task() -> None:
+    memo_of_task(MEMO)
 
 
 def features(text: str) -> np.ndarray:
@@ -55,18 +61,19 @@ def features(text: str) -> np.ndarray:
     """
     words = WORDS(text)
     distinct = set(words)
-    out: list[int] = []
+    out: list[bytes] = []
     for w in distinct:
         got = MEMO.get(w)
         if got is None:
-            got = word_features(w)
+            got = array("i", word_features(w)).tobytes()
             if len(MEMO) < MEMO_SIZE:
                 MEMO[w] = got
-        out += got
+        out.append(got)
     if words:
         # how far the vocabulary is below what a text of this length mostly has
-        out.append(zlib.crc32(b"v=%d" % int(10 * np.log(len(distinct) + 1) / np.log(len(words) + 1))) % BUCKETS)
-    return np.unique(np.array(out, dtype=np.int32))
+        v = zlib.crc32(b"v=%d" % int(10 * np.log(len(distinct) + 1) / np.log(len(words) + 1))) % BUCKETS
+        out.append(array("i", [v]).tobytes())
+    return np.unique(np.frombuffer(b"".join(out), dtype=np.int32))
 
 
 @dataclass
@@ -247,6 +254,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, text: str = "text",
     texts = rows.join(F.broadcast(chosen), key)  # max_fit rows of two numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             got = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -295,6 +303,7 @@ def apply(
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         weights, thresholds = shared.value
         local = OrdinalModel(weights, thresholds)
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapspark.llm.common import stored
+from gapspark.llm.common import memo_of_task, stored
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 SYMBOLS = "#*$%&|<>"
@@ -89,6 +89,7 @@ def document_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...]
     schema = StructType(kept.schema.fields[:-1] + StructType.fromDDL(STATS).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo_of_task(None)
         for batch in batches:
             got = [statistics(t) for t in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([g[i] for g in got], pa.int64()) for i in range(5)]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapspark.llm import license_scan, packing, quality_model, quality_rules
+from gapspark.llm import jaccard, license_scan, packing, quality_model, quality_rules
 from gapspark.llm.common import table
 
 
@@ -206,3 +206,20 @@ def test_model_columns_give_way_or_stay(spark, odd):
     assert got.columns == [c for c in odd.columns if c != "kept"] + list(quality_model.RESULT)
     free = quality_model.apply(odd, model, keep=None, result=("a", "b", "c"))
     assert free.columns == [*odd.columns, "a", "b", "c"] and {r.kept for r in free.collect()} == {"no"}
+
+
+def test_a_worker_holds_the_words_of_one_operator(monkeypatch):
+    monkeypatch.setattr(quality_model, "MEMO", {})
+    text = "Some words, some more WORDS and a 1234567 of them."
+    jaccard.begin_task()
+    jaccard.shingles(text, 3)
+    assert jaccard.CODES
+    quality_model.begin_task()
+    found = quality_model.features(text)
+    assert not jaccard.CODES and set(quality_model.MEMO) == set(text.split())
+    want = {b for w in set(text.split()) for b in quality_model.word_features(w)}
+    assert want < set(found.tolist()) and len(found) == len(want) + 1 and found.dtype == np.int32
+    # a word's buckets take a fraction of a list of numbers
+    assert all(isinstance(b, bytes) and len(b) == 4 * len(quality_model.word_features(w)) for w, b in quality_model.MEMO.items())
+    jaccard.begin_task()
+    assert not quality_model.MEMO
