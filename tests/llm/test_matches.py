@@ -187,6 +187,40 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_the_space_is_fitted_on_every_distinct_document(spark, monkeypatch):
+    """More documents than any sample held: the space is that of the whole passage matrix."""
+    monkeypatch.setattr(decontaminate, "RANK", 3)
+    monkeypatch.setattr(decontaminate, "OVERSAMPLE", 100)
+    random = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(60)] + ["other"] * 2_000
+    texts = [" ".join([f"x{k}", *random.choice(names, int(random.integers(1, 130)))]) for k in range(2_600)]
+    texts += ["", *["w1 w2 w3 " * 40] * 20]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    items = [decontaminate.Item(i, [f"w{j}" for j in range(i, i + 20)], set()) for i in range(0, 41, 10)]
+    index = decontaminate.build_index(docs, items)
+    seen = {w: sum(w in t.split() for t in texts) for w in index.rows}
+    assert set(index.rows) == {f"w{i}" for i in range(60)}
+    scale = np.array([max(np.log((len(texts) + 1) / (seen[w] + 1)) + 0.05, 0.05) for w in index.rows])
+    assert np.allclose(index.weight, scale)
+
+    def counted(words):
+        row = np.zeros(len(index.rows))
+        for w in words:
+            row[index.rows[w]] += index.rows[w] >= 0
+        return row * scale
+
+    half, gram = decontaminate.HALF, np.zeros((len(scale), len(scale)))
+    for words in (t.split() for t in set(texts)):
+        for at in range(0, max(1, -(-len(words) // half) - 1)):
+            row = counted(words[at * half : (at + 2) * half])
+            gram += np.outer(row, row)
+    own = np.array([counted(i.words) for i in items])
+    whole = gram + max(1.0, np.linalg.norm(gram) / np.linalg.norm(own.T @ own)) * own.T @ own
+    best = np.linalg.eigh(whole)[1][:, ::-1][:, :3]
+    got = index.basis / scale[:, None]
+    assert np.allclose(got @ got.T, best @ best.T, atol=1e-3)
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as p
 
