@@ -111,3 +111,16 @@ def test_texts_are_dealt_out_by_their_bytes(spark, monkeypatch):
 
 def test_documents_of_one_row_group_are_analysed_by_several_tasks(spark, folder):
     assert "REPARTITION_BY_COL" in plan(load_all()["document_aspects"](spark, folder))
+
+
+def test_documents_are_cut_into_sentences_once(spark, folder):
+    """Not before they are dealt out, and not once for each aspect."""
+    shown = plan(load_all()["document_aspects"](spark, folder)).partition("REPARTITION_BY_COL")
+    assert shown[0].count("split(") == 1 and "split(" not in shown[2]
+
+
+def test_every_review_has_eight_aspects(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (4, "The cast is superb here.")], "k long, body string")
+    found = values(aspects.aspect_rows(rows, "body", with_text=False).select("k", "aspect", "confidence"))
+    assert sorted((k, a) for k, a, _ in found) == sorted((k, a) for k in range(1, 5) for a in aspects.ASPECTS)
+    assert {(k, a) for k, a, c in found if c} == {(4, aspects.ASPECTS[0])}
