@@ -127,19 +127,18 @@ runs AS (SELECT film_link, min(review_date) AS session_start,
     SESSIONS + "SELECT * FROM runs",
 )
 def _stream_sessions(v):
-    rows = dated_reviews(v)
+    """Open sessions lie in the files of the batch before, not in a state store."""
+    rows = dated_reviews(v).drop("review_type")
     folder, stream = landing(v, rows, "sessions")
     base = session.fresh_path(v.spark, "sessions")
-    with session.setting(v.spark, session.LOCAL_SESSION_MERGE, "true"):
-        runs = stream_ops.activity_sessions(stream, "ts")
 
-        def run() -> None:
-            stream_ops.run_to_table(v.spark, runs, "sessions", base=base)
+    def run() -> None:
+        stream_ops.session_batches(stream, "ts", f"{base}/rows", f"{base}/state").awaitTermination()
 
-        land_by_days(rows, "review_date", folder, run)
-        closed(v, folder, rows.schema)
-        run()
-    return v.spark.read.parquet(f"{base}/rows").where("film_link <> ''").select(
+    land_by_days(rows, "review_date", folder, run)
+    closed(v, folder, rows.schema)
+    run()
+    return stream_ops.closed_sessions(v.spark, f"{base}/rows").where("film_link <> ''").select(
         "film_link",
         F.col("session_start").cast("date").alias("session_start"),
         F.col("session_end").cast("date").alias("session_end"),

@@ -134,9 +134,11 @@ def window_counts(
 
 
 def activity_sessions(
-    stream: DataFrame, ts: str, gap: str = "14 days", delay: str = "1 day", watermark: bool = True
+    stream: DataFrame, ts: str, gap: str | Column = "14 days", delay: str = "1 day", watermark: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Runs of reviews per film with no pause as long as ``gap``.
+    """Runs of reviews per film with no pause as long as ``gap``; a row counts for as many
+    reviews as its ``weight`` column says (None: for one).
 
     With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
     on, runs are merged before the shuffle, so a film with very many reviews
@@ -145,7 +147,7 @@ def activity_sessions(
     source = stream.withWatermark(ts, delay) if watermark else stream
     return (
         source.groupBy("film_link", F.session_window(ts, gap).alias("span"))
-        .agg(F.count("*").alias("reviews"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("reviews"))
         .select(
             "film_link",
             F.col("span.start").alias("session_start"),
@@ -155,6 +157,64 @@ def activity_sessions(
     )
 
 
+#: Columns of the sessions that ``session_batches`` writes.
+SESSIONS = "film_link string, session_start timestamp, session_end timestamp, reviews long"
+
+
+def _sessions(spark: SparkSession, folder: str, number: int, gap: str, delay: str) -> tuple[DataFrame, Column | None]:
+    """The sessions of a batch and the time up to which they are closed (None: no row yet).
+
+    The newest event ends the session that ends last, which is open and so in every batch.
+    """
+    sessions = spark.read.schema(SESSIONS).parquet(f"{folder}/batch={number}")
+    newest = F.max("session_end") - F.expr(f"INTERVAL {gap}")
+    upto = sessions.agg(F.unix_micros(newest - F.expr(f"INTERVAL {delay}"))).first()[0]
+    return sessions, None if upto is None else F.timestamp_micros(F.lit(upto))
+
+
+def closed_sessions(spark: SparkSession, folder: str, gap: str = "14 days", delay: str = "1 day") -> DataFrame:
+    """What ``session_batches`` has closed below a folder, with the same gap and delay."""
+    found = spark.createDataFrame([], SESSIONS)
+    for number in folders.finished(spark, folder, "batch"):
+        sessions, upto = _sessions(spark, folder, number, gap, delay)
+        if upto is not None:
+            found = found.unionByName(sessions.where(F.col("session_end") <= upto))
+    return found
+
+
+def session_batches(
+    stream: DataFrame, ts: str, folder: str, checkpoint: str, gap: str = "14 days", delay: str = "1 day"
+) -> StreamingQuery:
+    """``activity_sessions`` batch by batch into ``folder``; for batches of more sessions than
+    a state store holds in memory. ``closed_sessions`` reads what is closed.
+
+    A batch merges its rows with the sessions that the batch before left open, and writes
+    both. As in a state store, a session is closed when the newest event time so far, less
+    the delay, is past its end, and what comes later than that is left out. A batch costs
+    its own rows and the open sessions. A null event time is in no session; a repeated batch
+    reads only the batches before its number and writes the same rows again.
+    """
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        session_of_batch = batch.sparkSession
+        rows = batch.select("film_link", F.col(ts).alias("ts"), F.lit(gap).cast("interval").alias("gap"), F.lit(1).cast("long").alias("reviews"))
+        done = [n for n in folders.finished(spark, folder, "batch") if n < number]
+        upto = None
+        if done:
+            sessions, upto = _sessions(session_of_batch, folder, done[-1], gap, delay)
+            micros = F.unix_micros("session_end") - F.unix_micros("session_start")
+            length = F.make_interval(secs=(micros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+            still = sessions.where(F.col("session_end") > upto)
+            rows = rows.unionByName(still.select("film_link", F.col("session_start").alias("ts"), length.alias("gap"), "reviews"))
+        merged = activity_sessions(rows, "ts", F.col("gap"), watermark=False, weight="reviews")
+        if upto is not None:
+            merged = merged.where(F.col("session_end") > upto)
+        merged.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return upsert_batches(stream, apply, checkpoint)
+
+
 def upsert_batches(
     stream: DataFrame,
     apply: Callable[[DataFrame, int], None],

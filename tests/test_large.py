@@ -124,3 +124,26 @@ def test_every_review_has_eight_aspects(spark):
     found = values(aspects.aspect_rows(rows, "body", with_text=False).select("k", "aspect", "confidence"))
     assert sorted((k, a) for k, a, _ in found) == sorted((k, a) for k in range(1, 5) for a in aspects.ASPECTS)
     assert {(k, a) for k, a, c in found if c} == {(4, aspects.ASPECTS[0])}
+
+
+def test_sessions_go_on_from_batch_to_batch_without_a_state_store(spark, tmp_path):
+    first = dt.datetime(2024, 1, 1)
+    base, path = session.fresh_path(spark, "sessions"), str(tmp_path / "landing")
+    folders.create(spark, path)
+    stream = ops.read_parquet_stream(spark, path, "film_link string, ts timestamp")
+
+    def run(rows) -> list[tuple]:
+        batch = [(film, None if day is None else first + dt.timedelta(days=day)) for film, day in rows]
+        spark.createDataFrame(batch, "film_link string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+        query = ops.session_batches(stream, "ts", f"{base}/rows", f"{base}/state")
+        query.awaitTermination()
+        assert not query.lastProgress["stateOperators"]
+        found = values(ops.closed_sessions(spark, f"{base}/rows"))
+        return sorted(((f or ""), (a - first).days, (b - first).days, n) for f, a, b, n in found)
+
+    assert run([("a", 0), ("a", 14), ("b", 1), ("b", 1), (None, 2), ("c", 20), ("c", None)]) == [("", 2, 16, 1), ("b", 1, 15, 2)]
+    closed = [("", 2, 16, 1), ("a", 0, 40, 3), ("b", 1, 15, 2), ("c", 20, 34, 1)]
+    # of the second batch, b's day 3 is past; a's day 26 reaches the session that is open
+    assert run([("a", 26), ("b", 3), ("c", 50), ("c", 60)]) == closed
+    assert run([("d", 300)]) == [*closed, ("c", 50, 74, 2)]
+    assert run([("", 9_000)]) == [*closed, ("c", 50, 74, 2), ("d", 300, 314, 1)]
